@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from gridloom.llm.work import read
 
 
+def vocabulary() -> str:
+    """The place of the public byte-level vocabulary file; every machine has it at the same path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.simhash import near_duplicates
 
@@ -26,6 +33,18 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_topk, op8_decontaminate)}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.packing import pack
+
+    return pack(read(spark, sf_dir, "documents"), vocabulary())
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.token_files import round_trip
+
+    return round_trip(read(spark, sf_dir, "documents"), vocabulary())
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_topk, op7_packing, op8_decontaminate, op9_token_files)}
 
 SQL: dict[str, str] = {}
