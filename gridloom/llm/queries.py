@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.work import read
+from gridloom.llm.work import crc32_bucket, read
 
 
 def vocabulary() -> str:
@@ -33,6 +33,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.langid import identify
+
+    docs = read(spark, sf_dir, "documents")
+    found = identify(docs, crc32_bucket("doc_id", 4) != 2)
+    return found.select("doc_id", (crc32_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.packing import pack
 
@@ -45,6 +53,6 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_topk, op7_packing, op8_decontaminate, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_topk, op6_langid, op7_packing, op8_decontaminate, op9_token_files)}
 
 SQL: dict[str, str] = {}
