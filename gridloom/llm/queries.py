@@ -53,6 +53,13 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_topk, op6_langid, op7_packing, op8_decontaminate, op9_token_files)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.toxicity import score
+
+    found = score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), crc32_bucket("doc_id", 3) != 1)
+    return found.select("doc_id", (crc32_bucket("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_topk, op6_langid, op7_packing, op8_decontaminate, op9_token_files, op10_toxicity)}
 
 SQL: dict[str, str] = {}
