@@ -33,6 +33,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.secret_scan import scan
+
+    return scan(read(spark, sf_dir, "documents"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.langid import identify
 
@@ -60,6 +66,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc32_bucket("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_topk, op6_langid, op7_packing, op8_decontaminate, op9_token_files, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_topk, op3_secrets, op6_langid, op7_packing, op8_decontaminate, op9_token_files, op10_toxicity)}
 
 SQL: dict[str, str] = {}
