@@ -39,6 +39,12 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.quality import classify
+
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.langid import identify
 
@@ -66,6 +72,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc32_bucket("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_topk, op3_secrets, op6_langid, op7_packing, op8_decontaminate, op9_token_files, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_topk, op3_secrets, op5_quality, op6_langid, op7_packing, op8_decontaminate, op9_token_files, op10_toxicity)}
 
 SQL: dict[str, str] = {}
