@@ -39,6 +39,12 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.line_dedup import dedup_lines
+
+    return dedup_lines(read(spark, sf_dir, "documents"), counts=True).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.quality import classify
 
@@ -72,6 +78,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc32_bucket("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_topk, op3_secrets, op5_quality, op6_langid, op7_packing, op8_decontaminate, op9_token_files, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_topk, op3_secrets, op4_line_dedup, op5_quality, op6_langid, op7_packing, op8_decontaminate, op9_token_files, op10_toxicity)}
 
 SQL: dict[str, str] = {}
