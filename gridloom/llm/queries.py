@@ -78,6 +78,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc32_bucket("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_topk, op3_secrets, op4_line_dedup, op5_quality, op6_langid, op7_packing, op8_decontaminate, op9_token_files, op10_toxicity)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_topk, op3_secrets, op4_line_dedup, op5_quality, op6_langid, op7_packing, op8_decontaminate, op9_token_files, op10_toxicity, pipeline)}
 
 SQL: dict[str, str] = {}
