@@ -26,8 +26,14 @@ def crc32(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
 
 
+def id_type(vocabulary: str, end_id: int = END_ID) -> str:
+    """The narrowest of the two widths that ids are kept in between stages."""
+    return "<u2" if max(tokenizer(vocabulary).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
 def token_rows(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """``(doc_id, n_tokens, ids)``, ids as little-endian unsigned 32-bit binary, each text closed by ``end_id``."""
+    """``(doc_id, n_tokens, ids)``, ids as binary of ``id_type``, each text closed by ``end_id``."""
+    kind = id_type(vocabulary, end_id)
 
     def run(batches):
         coder = tokenizer(vocabulary)
@@ -35,21 +41,21 @@ def token_rows(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
                 flat, offsets = coder.encode(part.column(1).to_pylist(), end_id)
-                raw = pa.py_buffer(flat.astype("<u4").tobytes())
-                ids = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((offsets * 4).astype(np.int32).tobytes()), raw])
+                raw, places = flat.astype(kind), (offsets * np.dtype(kind).itemsize).astype(np.int64)
+                ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(places), pa.py_buffer(raw)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets), pa.int64()), ids], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def id_counts(rows: DataFrame) -> np.ndarray:
+def id_counts(rows: DataFrame, kind: str) -> np.ndarray:
     """How often each id occurs in all rows; as long as the vocabulary and no longer."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
             for value in batch.column(0):
-                own = np.bincount(np.frombuffer(value.as_buffer(), "<u4"), minlength=len(total))
+                own = np.bincount(np.frombuffer(value.as_buffer(), kind), minlength=len(total))
                 own[: len(total)] += total
                 total = own
         used = np.flatnonzero(total)
@@ -69,7 +75,8 @@ def write_files(docs: DataFrame, vocabulary: str, work: Work, id_col: str = "doc
     Texts are tokenized once; that table goes when the files stand.
     """
     rows = work.table(token_rows(docs, vocabulary, id_col, text_col), "ids", compression="zstd")
-    lengths = code_lengths(id_counts(rows), limit)
+    kind = id_type(vocabulary)
+    lengths = code_lengths(id_counts(rows, kind), limit)
     sent = docs.sparkSession.sparkContext.broadcast(lengths)
 
     def encode(batches):
@@ -88,7 +95,7 @@ def write_files(docs: DataFrame, vocabulary: str, work: Work, id_col: str = "doc
 
         for batch in batches:
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(value.as_buffer(), "<u4").astype(np.int64)
+                ids = np.frombuffer(value.as_buffer(), kind).astype(np.int64)
                 names.append(doc_id), counts.append(len(ids)), held.append(ids)
                 size += len(ids)
                 if size >= BLOCK_TOKENS:

@@ -14,22 +14,36 @@ import os
 
 import numpy as np
 
-#: Distinct chunks a worker remembers (some 200 bytes each); at the bound it forgets all and goes on.
-MEMO_CHUNKS = 1_000_000
+#: Distinct chunks a worker remembers (some 200 bytes each); at the bound it forgets the rarer ones, half of all at least.
+MEMO_CHUNKS = 1_200_000
 
 _loaded: dict[str, "ChunkTokenizer"] = {}
 
 
+#: Marks that end a pre-token when they follow a letter or digit (an apostrophe may not: it opens some word endings).
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class _Memo(dict):
-    """key -> number of the chunk ``lead + key``; unseen chunks wait in ``new`` for their ids."""
+    """key -> number of the chunk ``lead + key``; unseen chunks wait in ``new`` for their ids.
+
+    A chunk that ends in marks after a letter or digit waits in ``joined``
+    instead: its ids are those of what is before the marks and of the marks.
+    """
 
-    def __init__(self, lead: str, new: list[str], numbers):
+    def __init__(self, lead: str, owner: "ChunkTokenizer"):
         super().__init__()
-        self.lead, self.new, self.numbers = lead, new, numbers
+        self.lead, self.owner = lead, owner
 
     def __missing__(self, key: str) -> int:
-        number = self[key] = next(self.numbers)
-        self.new.append(self.lead + key)
+        stem = key.rstrip(_MARKS)
+        if len(stem) != len(key) and stem and stem[-1].isalnum() and "<|" not in key:
+            parts = self[stem], self.owner.raw[key[len(stem) :]]
+            number = self[key] = next(self.owner.numbers)
+            self.owner.joined.append((number, *parts))
+        else:
+            number = self[key] = next(self.owner.numbers)
+            self.owner.new.append((number, self.lead + key))
         return number
 
 
@@ -57,29 +71,55 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
+        self.new: list[tuple[int, str]] = []
+        self.joined: list[tuple[int, int, int]] = []
+        self.numbers = itertools.count()
+        self.raw = _Memo("", self)
+        self.spaced = _Memo(" ", self)
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+        self.begin, self.length, self.seen = (np.zeros(1 << 14, np.int64) for _ in range(3))
 
     def _forget(self) -> None:
-        self.new: list[str] = []
-        numbers = itertools.count()
-        self.spaced, self.raw = _Memo(" ", self.new, numbers), _Memo("", self.new, numbers)
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.start = np.zeros(1, np.int64)
+        most = len(self.raw) + len(self.spaced)
+        least = 2
+        while (kept := np.flatnonzero(self.seen[:most] >= least)).size > MEMO_CHUNKS // 2:
+            least *= 2
+        number = np.full(most, -1)
+        number[kept] = np.arange(len(kept))
+        for memo in (self.raw, self.spaced):
+            left = [(k, int(n)) for k, n in zip(memo, number[np.fromiter(memo.values(), np.int64, len(memo))]) if n >= 0]
+            memo.clear()
+            memo.update(left)
+        self.numbers = itertools.count(len(kept))
+        begin, length = self.begin[kept], self.length[kept]
+        ends = np.cumsum(length)
+        self.ids = self.ids[np.arange(int(length.sum())) + np.repeat(begin - (ends - length), length)]
+        self.used = len(self.ids)
+        room = np.zeros(1 << 14, np.int64)
+        self.begin, self.length, self.seen = (np.concatenate([a, room]) for a in (ends - length, length, self.seen[kept] // 2))
+
+    def _store(self, numbers: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        total, most = self.used + len(ids), int(numbers.max()) + 1
+        if total > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(total, np.uint32)])
+        if most > len(self.begin):
+            self.begin, self.length, self.seen = (np.concatenate([a, np.zeros(most, np.int64)]) for a in (self.begin, self.length, self.seen))
+        self.ids[self.used : total] = ids
+        self.begin[numbers] = self.used + np.cumsum(lengths) - lengths
+        self.length[numbers] = lengths
+        self.used = total
 
     def _learn(self) -> None:
-        if not self.new:
-            return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(self.new, add_special_tokens=False)]
-        self.new.clear()
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        used = int(self.start[-1])
-        total = used + int(lengths.sum())
-        if total > len(self.ids):
-            grown = np.empty(max(total, 2 * len(self.ids)), np.uint32)
-            grown[:used] = self.ids[:used]
-            self.ids = grown
-        self.ids[used:total] = np.fromiter(itertools.chain.from_iterable(found), np.uint32, total - used)
-        self.start = np.concatenate([self.start, used + np.cumsum(lengths)])
+        if self.new:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([c for _, c in self.new], add_special_tokens=False)]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            self._store(np.array([n for n, _ in self.new]), np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
+            self.new.clear()
+        if self.joined:
+            parts = np.array(self.joined, np.int64)
+            flat, offsets = self._gather(parts[:, 1:].ravel(), np.full(len(parts), 2), None)
+            self._store(parts[:, 0], flat, np.diff(offsets))
+            self.joined.clear()
 
     def encode(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another (uint32) and the offsets of each; null is the empty text."""
@@ -101,28 +141,26 @@ class ChunkTokenizer:
             counts[i] = len(pieces)
         self._learn()
         chunk = np.concatenate(parts) if parts else np.empty(0, np.int64)
-        return gather(self.ids, self.start, chunk, counts, end_id)
-
-
-def gather(ids: np.ndarray, start: np.ndarray, chunk: np.ndarray, counts: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Lays out the ids of chunk numbers; ``counts`` of them make up each text, closed by ``end_id``."""
-    begin = start[chunk]
-    length = start[chunk + 1] - begin
-    chunk_end = np.concatenate([[0], np.cumsum(length)])
-    text_end = chunk_end[np.cumsum(counts)]
-    total = int(chunk_end[-1])
-    at = np.arange(total, dtype=np.int64) + np.repeat(begin - chunk_end[:-1], length)
-    flat = ids[at]
-    sizes = np.diff(np.concatenate([[0], text_end]))
-    if end_id is None:
-        return flat, np.concatenate([[0], np.cumsum(sizes)])
-    offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
-    out = np.empty(total + len(counts), np.uint32)
-    keep = np.ones(len(out), bool)
-    keep[offsets[1:] - 1] = False
-    out[~keep] = end_id
-    out[keep] = flat
-    return out, offsets
+        used = np.bincount(chunk)
+        self.seen[: len(used)] += used
+        return self._gather(chunk, counts, end_id)
+
+    def _gather(self, chunk: np.ndarray, counts: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Lays out the ids of chunk numbers; ``counts`` of them make up each text, closed by ``end_id``."""
+        length = self.length[chunk]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        at = np.arange(int(ends[-1]), dtype=np.int64) + np.repeat(self.begin[chunk] - ends[:-1], length)
+        flat = self.ids[at]
+        sizes = np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
+        if end_id is None:
+            return flat, np.concatenate([[0], np.cumsum(sizes)])
+        offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
+        out = np.empty(len(flat) + len(counts), np.uint32)
+        keep = np.ones(len(out), bool)
+        keep[offsets[1:] - 1] = False
+        out[~keep] = end_id
+        out[keep] = flat
+        return out, offsets
 
 
 def tokenizer(path: str) -> ChunkTokenizer:
