@@ -182,7 +182,7 @@ def _layout(bins: list[list]) -> tuple[dict[int, int], tuple[np.ndarray, ...]]:
     return base, tuple(np.array([r[c] for r in rows], np.int64) for c in range(4))
 
 
-def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, bucket_rows: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, bucket_rows: int = 2_000) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     Each text's ids, closed by ``end_id`` (null: the end id alone), go whole into
@@ -200,11 +200,12 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     work = Work(spark, "packing")
     rows = work.table(pieces(docs, vocabulary, id_col, text_col, capacity, end_id), "pieces")
     by_length = {r.length: r.n for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    buckets = max(1, max(by_length.values(), default=0) // bucket_rows)
+    shares = spark.createDataFrame([(n, 1 + c // bucket_rows) for n, c in by_length.items()], "length long, buckets long")
     bins = local_search(best_fit(by_length, capacity), capacity)
     sent = spark.sparkContext.broadcast(_layout(bins))
 
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    dealt = rows.join(F.broadcast(shares), "length")  # a row for each length, of which there are at most ``capacity``
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "buckets")).drop("buckets")
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     bases = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
