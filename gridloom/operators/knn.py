@@ -62,11 +62,17 @@ def knn_join(source: DataFrame, target: DataFrame, radius: float, k: int = 1, so
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(*t_keys, "rank", *s_keys, "dist")
 
 
+def smaller_side(source: DataFrame, target: AreaSpec) -> str:
+    """Which of a source table and an area's pixels are fewer; counts no more rows than the area has pixels."""
+    return "source" if source.select(F.lit(1)).limit(target.size + 1).count() <= target.size else "target"
+
+
 def neighbours(source: DataFrame, target: AreaSpec, radius: float, k: int = 1, source_keys: list[str] | None = None, reduce_data: bool = True) -> DataFrame:
     """The edges from the pixels of an area; sources far from it are filtered at the scan."""
     if reduce_data:
         source = reduce_to_area(source, target, radius)
-    return knn_join(source, area_grid(source.sparkSession, target, xy=False), radius, k, source_keys)
+    around = smaller_side(source, target)
+    return knn_join(source, area_grid(source.sparkSession, target, xy=False), radius, k, source_keys, around=around)
 
 
 def gather(edges: DataFrame, data: DataFrame, source_keys: list[str], values: list[str]) -> DataFrame:
@@ -85,6 +91,7 @@ def nearest(source: DataFrame, target: DataFrame | AreaSpec, radius: float, valu
     if isinstance(target, AreaSpec):
         area, target = target, area_grid(source.sparkSession, target, xy=False)
         source = reduce_to_area(source, area, radius)
+        around = smaller_side(source, area)
     edges = knn_join(source, target, radius, 1, source_keys, target_keys, around)
     found = gather(edges, source, source_keys, values)
     out = found.select(*[F.col(f"t_{c}").alias(c) for c in target_keys], *values)

@@ -365,5 +365,5 @@ def swath_resolution(df, nadir_factor: float = 2.0, resolution: float | None = N
     two = df.where((F.col("row") == middle) & F.col("col").isin(0, 1)).select("col", "lon", "lat").orderBy("col").limit(2).collect()
     if len(two) < 2:
         raise RuntimeError("the middle row has no two neighbours")
-    xyz = [np.array(geocentric_xyz(r.lon, r.lat)) for r in two]
+    xyz = [np.array(geocentric_xyz(float(r.lon), float(r.lat))) for r in two]
     return float(np.linalg.norm(xyz[1] - xyz[0])) * nadir_factor

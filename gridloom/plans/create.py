@@ -244,7 +244,7 @@ def optimal_area(data: DataFrame, proj: str | None = None) -> AreaSpec:
     if size.r is None:
         raise ValueError("an empty swath has no area")
     edge = data.where(F.col("row").isin(0, size.r, size.r // 2) | F.col("col").isin(0, size.c, size.c // 2)).select("row", "col", "lon", "lat").collect()
-    at = {(r.row, r.col): (r.lon, r.lat) for r in edge}
+    at = {(r.row, r.col): (float(r.lon), float(r.lat)) for r in edge}
     middle = at[size.r // 2, size.c // 2]
     if proj is None or proj == "omerc":
         first, last = at[0, size.c // 2], at[size.r, size.c // 2]
