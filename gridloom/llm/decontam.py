@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.words import buffers, gram_hashes, spans, word_hashes
+from gridloom.llm.words import buffers, gram_hashes, slices, spans, word_hashes
 
 #: Words of a shared span, of a hashed gram, and grams of a window: GRAM + GRAMS - 1 = SPAN, so every shared span has a common minimum.
 SPAN, GRAM, GRAMS = 13, 7, 7
@@ -152,7 +152,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
         sent = sc.broadcast(block)
 
         def run(batches, sent=sent, k=k, last=after is None):
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, at)):
                 words = Words(batch.column(at))
                 hit, found = sent.value.match(words)
                 if k:

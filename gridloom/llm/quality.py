@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import logistic
-from gridloom.llm.words import buffers, spans, word_hashes
+from gridloom.llm.words import buffers, slices, spans, word_hashes
 
 #: Labelled and unlabelled documents that are learned from, about; they are picked by a hash of their id.
 SAMPLE, POOL = 12_000, 12_000
@@ -170,7 +170,7 @@ def _vectors(rows: DataFrame, columns: _Columns, id_expr: Column, label: Column)
     read = columns.reader()
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             x, m = read(batch, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64())), pa.array(list(m), pa.list_(pa.float64()))], names=["id", "y", "x", "m"])
 
@@ -231,7 +231,7 @@ def classify(
 
     def run(batches):
         model = sent.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             x, m = read(batch, 1)
             views, score = logistic.sigmoid(model.views(x, m)), model.score(x, m)
             yield pa.RecordBatch.from_arrays(
@@ -249,7 +249,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     sent, read, width, names = docs.sparkSession.sparkContext.broadcast(model), columns.reader(), len(docs.columns), docs.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, width)):
             keep = sent.value.score(*read(batch, width)) >= threshold
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(width)], names=names).filter(pa.array(keep))
 

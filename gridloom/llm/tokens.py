@@ -15,7 +15,7 @@ import os
 import numpy as np
 
 #: Distinct chunks a worker remembers (some 200 bytes each); at the bound it forgets the rarer ones, half of all at least.
-MEMO_CHUNKS = 1_200_000
+MEMO_CHUNKS = 900_000
 
 _loaded: dict[str, "ChunkTokenizer"] = {}
 
@@ -103,7 +103,8 @@ class ChunkTokenizer:
         if total > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.empty(total, np.uint32)])
         if most > len(self.begin):
-            self.begin, self.length, self.seen = (np.concatenate([a, np.zeros(most, np.int64)]) for a in (self.begin, self.length, self.seen))
+            more = np.zeros(most + most // 4 - len(self.begin), np.int64)
+            self.begin, self.length, self.seen = (np.concatenate([a, more]) for a in (self.begin, self.length, self.seen))
         self.ids[self.used : total] = ids
         self.begin[numbers] = self.used + np.cumsum(lengths) - lengths
         self.length[numbers] = lengths

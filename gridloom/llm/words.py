@@ -4,11 +4,27 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: An odd base, invertible modulo 2**64, of the polynomial hash over bytes.
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
+#: Bytes of text that batch-wise functions lay out at a time; a longer single text is taken whole.
+SLICE = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int):
+    """The batch in runs of rows of about SLICE bytes of text, so that working arrays stay small."""
+    sizes = np.array([0 if n is None else n for n in pc.binary_length(batch.column(column)).to_pylist()], np.int64)
+    at, ends = 0, np.cumsum(sizes)
+    while at < batch.num_rows:
+        done = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + SLICE, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the offsets of its rows; a null row has none."""
     column = column.cast(pa.large_binary()).fill_null(b"")
