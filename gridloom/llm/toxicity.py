@@ -137,7 +137,7 @@ class Scorer:
         self.memo: dict[str, tuple[float, int] | None] = {}
 
     def _look_up(self, word: str) -> tuple[float, int] | None:
-        found = self.lexicon.match(word) if len(word) <= 64 else None
+        found = self.lexicon.match(word)
         if found is not None:
             term, errors = found
             found = None if errors and word in self.clean else (self.weight[term] / (1 + errors), errors)

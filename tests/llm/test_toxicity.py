@@ -40,6 +40,14 @@ def test_quotation_is_not_abuse():
     assert scorer.features(None) == scorer.features("") == [0.0] * 5
 
 
+def test_words_of_any_length():
+    scorer = Scorer({"idiot*": 4.0, "moron": 3.0})
+    for n in (64, 65, 70, 5000):
+        word = "idiot" + "s" * (n - 5)
+        assert scorer._look_up(word) == (4.0, 0)
+        assert scorer._look_up("moron" * n) is None
+
+
 def test_logistic():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 2))
