@@ -204,12 +204,26 @@ def _ts(m, e: float, phi):
     return t if not e else t / m.power((1 - s * e) / (1 + s * e), e / 2)
 
 
+def _phi_of_chi(m, e: float, chi):
+    """Latitude of a conformal latitude: Krueger's series in the third flattening, summed as a polynomial in cos(2 chi).
+
+    ``chi`` is named six times, once a round would be two to the number of rounds.
+    """
+    if not e:
+        return chi
+    f = 1 - math.sqrt(1 - e * e)
+    n = f / (2 - f)
+    d2 = 2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45
+    d4 = 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45
+    d6 = 56 * n**3 / 15 - 136 * n**4 / 35
+    d8 = 4279 * n**4 / 630
+    # sin(4x) = 2 sin(2x) c, sin(6x) = sin(2x) (4 c^2 - 1), sin(8x) = sin(2x) (8 c^3 - 4 c) with c = cos(2x)
+    c = m.cos(chi * 2)
+    return chi + m.sin(chi * 2) * (((c * (8 * d8) + 4 * d6) * c + (2 * d4 - 4 * d8)) * c + (d2 - d6))
+
+
 def _phi_of_ts(m, e: float, t):
-    phi = math.pi / 2 - m.atan(t) * 2
-    for _ in range(6 if e else 0):
-        s = m.sin(phi)
-        phi = math.pi / 2 - m.atan(t * m.power((1 - s * e) / (1 + s * e), e / 2)) * 2
-    return phi
+    return _phi_of_chi(m, e, math.pi / 2 - m.atan(t) * 2)
 
 
 def _q(m, e: float, phi):
@@ -305,19 +319,18 @@ def _stere(c, m, lon, lat):
 def _stere_inverse(c, m, x, y):
     x, y = _back(c, x, y)
     e, lat_0 = math.sqrt(c.e2), float(c.get("lat_0"))
-    rho = m.hypot(x, y)
     if abs(abs(lat_0) - 90) < 1e-9:
         s = 1.0 if lat_0 > 0 else -1.0
-        phi = _phi_of_ts(m, e, rho / _stere_polar_scale(c)) * s
+        phi = _phi_of_ts(m, e, m.hypot(x, y) / _stere_polar_scale(c)) * s
         return _lon(c, m, m.atan2(x, y * -s)), phi / RAD
     phi1 = lat_0 * RAD
     chi1 = float(_conformal(NUMBERS, e, phi1))
-    ce = m.atan2(rho * math.cos(chi1), rho * 0 + 2 * c.a * float(c.get("k_0", c.get("k", 1.0))) * _mm(c.e2, phi1)) * 2
-    safe = m.where(rho > 0, rho, 1.0)
-    sin_chi = m.where(rho > 0, m.cos(ce) * math.sin(chi1) + y * m.sin(ce) * math.cos(chi1) / safe, math.sin(chi1))
-    chi = m.asin(m.clip(sin_chi, -1, 1))
-    lam = m.atan2(x * m.sin(ce), rho * math.cos(chi1) * m.cos(ce) - y * math.sin(chi1) * m.sin(ce))
-    return _lon(c, m, lam), _phi_of_ts(m, e, m.tan(math.pi / 4 - chi / 2)) / RAD
+    half = math.cos(chi1) / (2 * c.a * float(c.get("k_0", c.get("k", 1.0))) * _mm(c.e2, phi1))
+    u, v = x * half, y * half  # tangents of half the angle from the centre
+    square = u * u + v * v
+    chi = m.asin(m.clip(((1 - square) * math.sin(chi1) + v * (2 * math.cos(chi1))) / (1 + square), -1, 1))
+    lam = m.atan2(u * 2, (1 - square) * math.cos(chi1) - v * (2 * math.sin(chi1)))
+    return _lon(c, m, lam), _phi_of_chi(m, e, chi) / RAD
 
 
 def _laea(c, m, lon, lat):
@@ -449,9 +462,7 @@ def _geos_inverse(c, m, x, y):
     qa = vy * vy + (vz / p) * (vz / p) + 1
     det = 4 * g * g - qa * (4 * (g * g - 1))
     k = (2 * g - m.sqrt(m.only(det >= 0.0, det))) / (qa * 2)
-    vx, vy, vz = g - k, vy * k, vz * k
-    lam = m.atan2(vy, vx)
-    return _lon(c, m, lam), m.atan(m.tan(m.atan(vz * m.cos(lam) / vx)) / p**2) / RAD
+    return _lon(c, m, m.atan2(vy * k, g - k)), m.atan(vz / m.hypot(g / k - 1, vy) / p**2) / RAD
 
 
 def _tmerc_params(c):
@@ -475,24 +486,15 @@ def _kruger(c):
     return radius, alpha, beta
 
 
-def _sinh(m, v):
-    return (m.exp(v) - m.exp(-v)) / 2
-
-
-def _cosh(m, v):
-    return (m.exp(v) + m.exp(-v)) / 2
-
-
 def _tm_forward(c, m, lam, phi):
     radius, alpha, _ = _kruger(c)
     chi = _conformal(m, math.sqrt(c.e2), phi)
     xi = m.atan2(m.tan(chi), m.cos(lam))
-    u = m.sin(lam) / m.hypot(m.tan(chi), m.cos(lam))
-    eta = m.log(u + m.sqrt(u * u + 1))
+    eta = m.asinh(m.sin(lam) / m.hypot(m.tan(chi), m.cos(lam)))
     x, y = eta, xi
     for j, k in enumerate(alpha, 1):
-        y = y + m.sin(xi * (2 * j)) * _cosh(m, eta * (2 * j)) * k
-        x = x + m.cos(xi * (2 * j)) * _sinh(m, eta * (2 * j)) * k
+        y = y + m.sin(xi * (2 * j)) * m.cosh(eta * (2 * j)) * k
+        x = x + m.cos(xi * (2 * j)) * m.sinh(eta * (2 * j)) * k
     return x * radius, y * radius
 
 
@@ -511,11 +513,11 @@ def _tmerc_inverse(c, m, x, y):
     xi, eta = ((y - y_0) / k + y_low) / radius, (x - x_0) / (k * radius)
     p, q = xi, eta
     for j, b in enumerate(beta, 1):
-        p = p - m.sin(xi * (2 * j)) * _cosh(m, eta * (2 * j)) * b
-        q = q - m.cos(xi * (2 * j)) * _sinh(m, eta * (2 * j)) * b
-    chi = m.asin(m.clip(m.sin(p) / _cosh(m, q), -1, 1))
-    lam = m.atan2(_sinh(m, q), m.cos(p))
-    return m.pmod(lam / RAD + lon_0 + 180.0, 360.0) - 180.0, _phi_of_ts(m, math.sqrt(c.e2), m.tan(math.pi / 4 - chi / 2)) / RAD
+        p = p - m.sin(xi * (2 * j)) * m.cosh(eta * (2 * j)) * b
+        q = q - m.cos(xi * (2 * j)) * m.sinh(eta * (2 * j)) * b
+    chi = m.asin(m.clip(m.sin(p) / m.cosh(q), -1, 1))
+    lam = m.atan2(m.sinh(q), m.cos(p))
+    return m.pmod(lam / RAD + lon_0 + 180.0, 360.0) - 180.0, _phi_of_chi(m, math.sqrt(c.e2), chi) / RAD
 
 
 def _omerc_constants(c):
@@ -540,12 +542,11 @@ def _omerc_constants(c):
 
 def _omerc(c, m, lon, lat):
     e, a, b, ee, gamma0, lam0, gamma, uc = _omerc_constants(c)
-    q = m.power(_ts(m, e, m.only(m.abs(lat) < 90.0, lat) * RAD), -b) * ee
-    s, t = (q - 1 / q) / 2, (q + 1 / q) / 2
+    w = m.log(_ts(m, e, m.only(m.abs(lat) < 90.0, lat) * RAD)) * -b + math.log(ee)
+    s, t = m.sinh(w), m.cosh(w)
     lam = m.pmod(lon - lam0 / RAD + 180.0, 360.0) * RAD - math.pi
     v = m.sin(lam * b)
-    u_ = (s * math.sin(gamma0) - v * math.cos(gamma0)) / t
-    across = m.log((1 - u_) / (1 + u_)) * (a / (2 * b))
+    across = m.atanh((s * math.sin(gamma0) - v * math.cos(gamma0)) / t) * (-a / b)
     along = m.atan2(s * math.cos(gamma0) + v * math.sin(gamma0), m.cos(lam * b)) * (a / b) - uc
     return _move(c, across * math.cos(gamma) + along * math.sin(gamma), along * math.cos(gamma) - across * math.sin(gamma))
 
@@ -554,10 +555,8 @@ def _omerc_inverse(c, m, x, y):
     x, y = _back(c, x, y)
     e, a, b, ee, gamma0, lam0, gamma, uc = _omerc_constants(c)
     across, along = x * math.cos(gamma) - y * math.sin(gamma), y * math.cos(gamma) + x * math.sin(gamma) + uc
-    q = m.exp(across * (-b / a))
-    s, t, v = (q - 1 / q) / 2, (q + 1 / q) / 2, m.sin(along * (b / a))
-    u_ = (v * math.cos(gamma0) + s * math.sin(gamma0)) / t
-    ts = m.power(m.sqrt((1 - u_) / (1 + u_)) * ee, 1.0 / b)
+    s, t, v = m.sinh(across * (-b / a)), m.cosh(across * (-b / a)), m.sin(along * (b / a))
+    ts = m.exp((m.atanh((v * math.cos(gamma0) + s * math.sin(gamma0)) / t) * -1.0 + math.log(ee)) / b)
     lam = m.atan2(s * math.cos(gamma0) - v * math.sin(gamma0), m.cos(along * (b / a))) / -b
     return m.pmod(lam / RAD + lam0 / RAD + 180.0, 360.0) - 180.0, _phi_of_ts(m, e, ts) / RAD
 

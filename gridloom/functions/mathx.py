@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 
 class _Columns:
-    sin, cos, tan, asin, acos, atan, sqrt, exp, abs, rint = (staticmethod(getattr(F, n)) for n in ("sin", "cos", "tan", "asin", "acos", "atan", "sqrt", "exp", "abs", "rint"))
+    sin, cos, tan, asin, acos, atan, sinh, cosh, asinh, atanh, sqrt, exp, abs, rint = (
+        staticmethod(getattr(F, n)) for n in ("sin", "cos", "tan", "asin", "acos", "atan", "sinh", "cosh", "asinh", "atanh", "sqrt", "exp", "abs", "rint")
+    )
     atan2 = staticmethod(F.atan2)
     hypot = staticmethod(F.hypot)
 
@@ -54,7 +56,9 @@ class _Columns:
 
 
 class _Numbers:
-    sin, cos, tan, asin, acos, atan, sqrt, exp, abs, rint, floor = (staticmethod(getattr(np, n)) for n in ("sin", "cos", "tan", "arcsin", "arccos", "arctan", "sqrt", "exp", "abs", "rint", "floor"))
+    sin, cos, tan, asin, acos, atan, sinh, cosh, asinh, atanh, sqrt, exp, abs, rint, floor = (
+        staticmethod(getattr(np, n)) for n in ("sin", "cos", "tan", "arcsin", "arccos", "arctan", "sinh", "cosh", "arcsinh", "arctanh", "sqrt", "exp", "abs", "rint", "floor")
+    )
     atan2, hypot, log, power = (staticmethod(f) for f in (np.arctan2, np.hypot, np.log, np.power))
 
     @staticmethod

@@ -29,13 +29,18 @@ def area_grid(spark: SparkSession, area: AreaSpec | StackedArea, lonlat: bool =
     columns = [F.col("row"), F.col("col")]
     if xy:
         columns += [x.alias("x"), y.alias("y")]
-    if lonlat:
-        columns += [_missing(lon).alias("lon"), _missing(lat).alias("lat")]
-    return cells.select(*columns)
+    if not lonlat:
+        return cells.select(*columns)
+    lon, lat = _missing(lon).alias("lon"), _missing(lat).alias("lat")
+    if area.crs.geographic:
+        return cells.select(*columns, lon, lat)
+    # filters on degrees would be pushed below the formulas, and the formulas with them, once a mention; explode() keeps them above
+    return cells.select(*columns, F.explode(F.array(F.struct(lon, lat))).alias("_p")).select("row", "col", *(["x", "y"] if xy else []), "_p.lon", "_p.lat")
 
 
 def _missing(value: Column) -> Column:
-    return F.when(~F.isnan(value), value)
+    """Null for NaN."""
+    return F.nanvl(value, F.lit(None).cast("double"))
 
 
 def densify(cells: DataFrame, area: AreaSpec, fill: dict[str, float] | float | None = None) -> DataFrame:
