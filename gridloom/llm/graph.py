@@ -36,6 +36,8 @@ def components(edges: DataFrame, work: Work, name: str = "components") -> DataFr
         if seen == before:
             break
         before = seen
+    else:
+        raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
 
 
