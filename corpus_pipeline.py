@@ -30,13 +30,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates (one row of it, if it is repeated).
+    """The document of the smallest id of each group of near-duplicates; of rows that repeat its id, the one of the least text.
 
     Rows without an id cannot be told apart from each other by id; they stay.
     """
     groups = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    kept = docs.join(groups, "doc_id", "left_semi")
+    # the least row as a whole, so that the choice does not hang on the order of tasks
+    least = F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_row")
+    kept = kept.groupBy("doc_id").agg(least).select("doc_id", "_row.*")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
