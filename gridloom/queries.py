@@ -258,18 +258,22 @@ def rounded_to_resolution(spark, sf):
     return events_points(spark, sf).select("pt_id", round_to_resolution(F.col("value"), 1.7).alias("value"))
 
 
-# neighbours: events of odd numbers are sources, every twentieth of the rest a target
+# neighbours: every event is a source and, moved a little, a target
 
-RADIUS = 400_000.0
+RADIUS = 300_000.0
 _XYZ = "cos(radians(lat)) * cos(radians(lon)) * 6370997.0e0 as x, cos(radians(lat)) * sin(radians(lon)) * 6370997.0e0 as y, sin(radians(lat)) * 6370997.0e0 as z"
-PAIRS_SQL = f"""{P}, s as (select pt_id, value, {_XYZ} from p where pt_id % 2 = 1 and pt_id < 20000), t as (select pt_id, {_XYZ} from p where pt_id % 20 = 0 and pt_id < 20000),
-e as (select t.pt_id as t_pt_id, s.pt_id as s_pt_id, s.value, sqrt((t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y) + (t.z - s.z) * (t.z - s.z)) as dist from t join s on abs(t.z - s.z) < {RADIUS} and abs(t.x - s.x) < {RADIUS} and abs(t.y - s.y) < {RADIUS}),
+_CUBE = ", ".join(f"cast(floor({c} / {RADIUS}) as int) as i{c}" for c in "xyz")
+# all meet all within a radius: by cubes in SQL too, plain inequalities would compare every pair
+PAIRS_SQL = f"""{P}, moved as (select pt_id, lon, lat + 0.05e0 as lat from p), s as (select *, {_CUBE} from (select pt_id, value, {_XYZ} from p)),
+t as (select *, {_CUBE} from (select pt_id, {_XYZ} from moved)), n as (select a, b, c from (values (-1), (0), (1)) u(a), (values (-1), (0), (1)) v(b), (values (-1), (0), (1)) w(c)),
+around as (select pt_id, x, y, z, ix + a as ix, iy + b as iy, iz + c as iz from t, n),
+e as (select t.pt_id as t_pt_id, s.pt_id as s_pt_id, s.value, sqrt((t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y) + (t.z - s.z) * (t.z - s.z)) as dist from around t join s on t.ix = s.ix and t.iy = s.iy and t.iz = s.iz),
 k as (select *, cast(row_number() over (partition by t_pt_id order by dist, s_pt_id) as int) as rank from e where dist < {RADIUS})"""
 
 
 def _sides(spark, sf):
-    points = events_points(spark, sf).where("pt_id < 20000")
-    return points.where("pt_id % 2 = 1"), points.where("pt_id % 20 = 0")
+    points = events_points(spark, sf)
+    return points, points.withColumn("lat", F.col("lat") + 0.05)
 
 
 def _edges(spark, sf, k):
@@ -295,13 +299,13 @@ def resample_nearest(spark, sf):
     return knn.nearest(source, target, RADIUS, ["value"], ["pt_id"], ["pt_id"], keep_all=True)
 
 
-_W = "exp(-(dist * dist) / (200000.0e0 * 200000.0e0))"
+_W = "exp(-(dist * dist) / (150000.0e0 * 150000.0e0))"
 
 
 @query(f"{PAIRS_SQL} select t_pt_id as pt_id, round(sum(case when value is not null then {_W} * value end) / sum(case when value is not null then {_W} end), 6) as value from k where rank <= 8 group by t_pt_id")
 def resample_gauss(spark, sf):
     edges, source = _edges(spark, sf, 8)
-    return knn.weighted(edges, source, knn.gauss(200_000.0), ["value"], ["pt_id"], ["pt_id"]).withColumn("value", _r(F.col("value")))
+    return knn.weighted(edges, source, knn.gauss(150_000.0), ["value"], ["pt_id"], ["pt_id"]).withColumn("value", _r(F.col("value")))
 
 
 @query(f"""{PAIRS_SQL}, w as (select t_pt_id, value, {_W} as w from k where rank <= 8 and value is not null),
@@ -311,14 +315,14 @@ ts as (select distinct t_pt_id from k where rank <= 8)
 select ts.t_pt_id as pt_id, round(m, 6) as value, round(case when n > 1 then sqrt(v1 / (v1 * v1 - v2) * q) end, 4) as value_stddev, coalesce(n, 0) as value_n from ts left join a on ts.t_pt_id = a.t_pt_id left join v on v.t_pt_id = ts.t_pt_id""")
 def resample_gauss_uncertainty(spark, sf):
     edges, source = _edges(spark, sf, 8)
-    out = knn.weighted(edges, source, knn.gauss(200_000.0), ["value"], ["pt_id"], ["pt_id"], uncertainty=True)
+    out = knn.weighted(edges, source, knn.gauss(150_000.0), ["value"], ["pt_id"], ["pt_id"], uncertainty=True)
     return out.select("pt_id", _r(F.col("value")).alias("value"), _r(F.col("value_stddev"), 4).alias("value_stddev"), "value_n")
 
 
-@query(f"{PAIRS_SQL} select t_pt_id as pt_id, round(sum(case when value is not null then (1 - dist / 500000.0e0) * value end) / sum(case when value is not null then 1 - dist / 500000.0e0 end), 6) as value from k where rank <= 8 group by t_pt_id")
+@query(f"{PAIRS_SQL} select t_pt_id as pt_id, round(sum(case when value is not null then (1 - dist / 400000.0e0) * value end) / sum(case when value is not null then 1 - dist / 400000.0e0 end), 6) as value from k where rank <= 8 group by t_pt_id")
 def resample_custom(spark, sf):
     source, target = _sides(spark, sf)
-    out = knn.resample_custom(source, target, RADIUS, lambda d: 1 - d / 500_000.0, ["value"], source_keys=["pt_id"], target_keys=["pt_id"])
+    out = knn.resample_custom(source, target, RADIUS, lambda d: 1 - d / 400_000.0, ["value"], source_keys=["pt_id"], target_keys=["pt_id"])
     return out.withColumn("value", _r(F.col("value")))
 
 
@@ -352,11 +356,11 @@ def grid_filter(spark, sf):
     return filters.grid_filter(events_points(spark, sf), mask, RASTER).select("pt_id")
 
 
-_RASTER_SQL = "with d as (select cast(event_id // 100 as int) as row, cast(event_id % 100 as int) as col, value from events where event_id < 10000)"
+_RASTER_SQL = "with d as (select cast(event_id // 100 as int) as row, cast(event_id % 100 as int) as col, value from events)"
 
 
 def _raster(spark, sf):
-    events = spark.read.parquet(f"{sf}/events.parquet").where("event_id < 10000")
+    events = spark.read.parquet(f"{sf}/events.parquet")
     return events.selectExpr("cast(event_id div 100 as int) as row", "cast(event_id % 100 as int) as col", "value")
 
 
@@ -437,7 +441,7 @@ f as (select row, col, ((lon + 95) * 0.05e0 - (lat - 15) * 0.01e0) / (0.4e0 * 0.
 m as (select max(row) as r1 from s), g as (select f.row, f.col, cast(floor(r) as int) + i as sr, cast(floor(c) as int) + j as sc, (case when i = 1 then r - floor(r) else 1 - (r - floor(r)) end) * (case when j = 1 then c - floor(c) else 1 - (c - floor(c)) end) as w from f, m, (values (0), (1)) a(i), (values (0), (1)) b(j) where r between 0 and r1 and c between 0 and 49)
 select g.row, g.col, round(sum(w * value), 3) as value from g join s on s.row = g.sr and s.col = g.sc where w > 1e-9 group by g.row, g.col having count(value) = count(*) and abs(sum(w) - 1) < 1e-6""")
 def gradient_bilinear_swath(spark, sf):
-    swath_ = events_swath(spark, sf).where("row < 1000")
+    swath_ = events_swath(spark, sf)
     indices = gradient.swath_indices(swath_, _SWATH_AREA, 60_000.0)
     # a hair's breadth from a whole index is the index
     snap = lambda c: F.when(F.abs(F.col(c) - F.rint(c)) < 1e-7, F.rint(c)).otherwise(F.col(c))
@@ -445,9 +449,6 @@ def gradient_bilinear_swath(spark, sf):
     return out.where("value is not null").withColumn("value", _r(F.col("value"), 3))
 
 
-SQL["gradient_bilinear_swath"] = SQL["gradient_bilinear_swath"].replace(f"with s as ({SWATH_SQL})", f"with s as (select * from ({SWATH_SQL}) where row < 1000)")
-
-
 # on a grid-like source, the quadrants of a target are the corners of its grid square
 @query(f"""{_RASTER_SQL}, t as (select cast(i // 20 as int) as row, cast(i % 20 as int) as col, -9.8e0 + (i % 20) as lon, 9.7e0 - (i // 20) as lat from range(400) t(i)),
 f as (select row, col, 49.5e0 - lat as sy, lon + 49.5e0 as sx from t),
@@ -462,7 +463,7 @@ def resample_bilinear(spark, sf):
 
 # elliptical weighted averaging
 
-_EWA_SQL = f"""with s as (select * from ({SWATH_SQL}) where row < 200), x as (select *, row // 10 as scan, (lon + 95.75e0) / 0.5e0 as gc, (65.75e0 - lat) / 0.5e0 as gr from s),
+_EWA_SQL = f"""with s as ({SWATH_SQL}), x as (select *, row // 10 as scan, (lon + 95.75e0) / 0.5e0 as gc, (65.75e0 - lat) / 0.5e0 as gr from s),
 b as (select scan, min(row) as r0, max(row) as r1 from x group by scan),
 m as (select x.scan, col, max(case when row = r0 + (r1 - r0 + 1) // 2 then gc end) as mu, max(case when row = r0 + (r1 - r0 + 1) // 2 then gr end) as mv, max(case when row = r0 then gc end) as fu, max(case when row = r0 then gr end) as fv, max(case when row = r1 then gc end) as lu, max(case when row = r1 then gr end) as lv, max(r1 - r0) as n from x join b on x.scan = b.scan group by x.scan, col),
 e as (select scan, col, (lead(mu) over w - lag(mu) over w) / 2 as ux, (lead(mv) over w - lag(mv) over w) / 2 as vx, (lu - fu) / greatest(n, 1) as uy, (lv - fv) / greatest(n, 1) as vy from m window w as (partition by scan order by col)),
@@ -476,7 +477,7 @@ h as (select *, exp(least(floor(q * 10000), 9999) * (ln(0.01e0) / 9999)) as w fr
 
 
 def _ewa(spark, sf, **more):
-    return ewa.resample_ewa(events_swath(spark, sf).where("row < 200"), EWA, ["value"], 10, **more)
+    return ewa.resample_ewa(events_swath(spark, sf), EWA, ["value"], 10, **more)
 
 
 @query(f"{_EWA_SQL} select cast(v as int) as row, cast(u as int) as col, round(sum(w * value) / sum(w), 4) as value from h where value is not null group by all having sum(w) >= 0.01")
@@ -543,7 +544,7 @@ def stacked_area(spark, sf):
 
 
 # squares of degrees: the integral of their great-circle edges, by the angle at which an edge's great circle is seen from the pole
-@query(f"""{P}, c as (select pt_id, lon, lat * 0.5e0 as lat, 3.0e0 as w from p where pt_id % 10 = 0),
+@query(f"""{P}, c as (select pt_id, lon, lat * 0.5e0 as lat, 3.0e0 as w from p),
 t as (select pt_id, radians(w) as w, radians(lat) as lo, radians(lat + w) as hi from c)
 select pt_id, round(2 * atan2(tan(w / 2) * (sin(hi)), 1) - 2 * atan2(tan(w / 2) * sin(lo), 1), 8) as area from t""")
 def polygon_areas(spark, sf):
@@ -551,7 +552,7 @@ def polygon_areas(spark, sf):
     lon, lat = F.col("lon"), F.col("lat") * 0.5
     point = lambda a, b: F.struct(F.radians(a).alias("lon"), F.radians(b).alias("lat"))
     ring = F.array(point(lon, lat), point(lon, lat + 3.0), point(lon + 3.0, lat + 3.0), point(lon + 3.0, lat))
-    rows = events_points(spark, sf).where("pt_id % 10 = 0").select("pt_id", ring.alias("ring"))
+    rows = events_points(spark, sf).select("pt_id", ring.alias("ring"))
     return rows.select("pt_id", _r(polygon_area_column(F.col("ring")), 8).alias("area"))
 
 
@@ -576,7 +577,10 @@ def polygon_overlap_groups(spark, sf):
 
 @query(f"""{_RASTER_SQL} select row // 5 as row, col // 4 as col, round(avg(value), 6) as value from d where row < 5 * (select (max(row) + 1) // 5 from d) group by row // 5, col // 4""")
 def block_means(spark, sf):
-    target = AreaSpec.make(RASTER.crs, 25, 20, RASTER.extent)
+    data = _raster(spark, sf)
+    height = (data.agg(F.coalesce(F.max("row"), F.lit(-1))).first()[0] + 1) // 5 * 5
+    source = AreaSpec.make(RASTER.crs, 100, height, RASTER.extent) if height else RASTER
+    target = AreaSpec.make(RASTER.crs, 25, source.height // 5, RASTER.extent)
 
     def mean(block, source, own):
         # the window is a pixel wider where the tile ends inside the source
@@ -584,7 +588,7 @@ def block_means(spark, sf):
         part = block[r0 : r0 + own.height * 5, c0 : c0 + own.width * 4]
         return part.reshape(own.height, 5, own.width, 4).mean((1, 3))
 
-    out = blocks.resample_blocks(mean, _raster(spark, sf), RASTER, target, tile=10)
+    out = blocks.resample_blocks(mean, data.where(F.col("row") < source.height), source, target, tile=10)
     return out.select("row", "col", _r(F.col("value")).alias("value"))
 
 
