@@ -14,8 +14,6 @@ from gridloom.llm.tokens import tokenizer
 from gridloom.llm.work import Work
 
 CAPACITY = 1024
-#: Trial pairs of bins that the local search looks at, in all; a bound on the driver's time, not on the rows.
-TRIALS = 200_000
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[list]:
@@ -81,12 +79,14 @@ def _better(full: list[int], other: list[int], capacity: int) -> tuple[list[int]
     return out + list(best[1]), back + list(best[0])
 
 
-def local_search(bins: list[list], capacity: int, trials: int = TRIALS) -> list[list]:
+def local_search(bins: list[list], capacity: int) -> list[list]:
     """Exchanges pieces between underfull bins as long as that raises the squared fill, dropping bins that empty.
 
     Equal bins take the same exchange at once, as often as both sides allow. The
-    search ends when no pair of underfull bins can be bettered, at the lower
-    bound of whole capacities, or after ``trials`` pairs.
+    search ends when no pair of underfull bins can be bettered, or at the lower
+    bound of whole capacities. Every exchange raises the squared fill, and bins
+    are counted by their lengths, so its length follows the patterns and not the
+    rows.
     """
     table: dict[tuple[int, ...], int] = {}
     for own, times in bins:
@@ -97,7 +97,7 @@ def local_search(bins: list[list], capacity: int, trials: int = TRIALS) -> list[
     done = {k: t for k, t in table.items() if sum(k) == capacity}
     open_ = {k: t for k, t in table.items() if sum(k) < capacity}
     hopeless: set[tuple] = set()
-    while trials > 0 and made > least:
+    while made > least:
         order = sorted(open_, key=lambda k: (-sum(k), k))
         found = None
         for j in range(len(order) - 1, -1, -1):  # empty the least filled first
@@ -105,14 +105,11 @@ def local_search(bins: list[list], capacity: int, trials: int = TRIALS) -> list[
                 a, b = order[i], order[j]
                 if (a, b) in hopeless or a == b and open_[a] < 2:
                     continue
-                trials -= 1
                 if (better := _better(list(a), list(b), capacity)) is not None:
                     found = a, b, better
                     break
                 hopeless.add((a, b))
-                if trials <= 0:
-                    break
-            if found or trials <= 0:
+            if found:
                 break
         if not found:
             break
