@@ -62,19 +62,22 @@ def overlapping_pairs(polygons: DataFrame, key: str = "id", points: str = "point
     return pairs.where(polygon_intersection("p", "q").isNotNull()).select("a", "b")
 
 
-def overlap_groups(polygons: DataFrame, key: str = "id", points: str = "points", rounds: int = 32) -> DataFrame:
-    """``key, group``: the least key of all polygons connected by overlaps, by spreading labels along the pairs.
+def overlap_groups(polygons: DataFrame, key: str = "id", points: str = "points") -> DataFrame:
+    """``key, group``: the least key of all polygons connected by overlaps.
 
-    A driver-side loop over small label tables; each round is checkpointed where
-    the session has a checkpoint folder.
+    Labels spread along the pairs, and each round a label is replaced by its own
+    label's, so a chain of any length takes a few rounds. A driver-side loop
+    over label tables that ends when a round changes nothing; each round is
+    checkpointed where the session has a checkpoint folder.
     """
     pairs = overlapping_pairs(polygons, key, points)
-    both = pairs.union(pairs.select("b", "a")).persist()
+    both = _cut(pairs.union(pairs.select("b", "a")))
     labels = polygons.select(F.col(key).alias("n"), F.col(key).alias("group"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both.b == labels.n).groupBy("a").agg(F.min("group").alias("near"))
         after = labels.join(near, labels.n == near.a, "left").select("n", F.least("group", F.coalesce("near", "group")).alias("group"))
-        after = _cut(after)
+        own = after.select(F.col("n").alias("m"), F.col("group").alias("far"))
+        after = _cut(after.join(own, after.group == own.m).select("n", F.least("group", "far").alias("group")))
         moved = after.join(labels.withColumnRenamed("group", "old"), "n").where("group <> old").limit(1).count()
         labels = after
         if not moved:

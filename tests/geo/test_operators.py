@@ -289,6 +289,13 @@ def test_polygon_columns(spark):
     assert np.isclose(r.a, SphericalPolygon(ring).area()) and r.n is None and np.isclose(area(r.u) + area(r.i), 2 * r.a, rtol=0.05)
 
 
+def test_a_long_chain_is_one_group(spark):
+    ring = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)]
+    rows = [(i, [((x + 0.8 * i) * RAD, y * RAD) for x, y in ring]) for i in range(50)] + [(99, [(x * RAD, (y + 40) * RAD) for x, y in ring])]
+    table = spark.createDataFrame(rows, "id int, points array<struct<lon:double,lat:double>>")
+    assert {r.id: r.group for r in polygons.overlap_groups(table).collect()} == {**dict.fromkeys(range(50), 0), 99: 99}
+
+
 def test_blocks(spark):
     source, target = (AreaSpec.make(LL, n, n, (0, 0, 10, 10)) for n in (40, 10))
     data = area_grid(spark, source, lonlat=False, xy=False).withColumn("value", (F.col("row") + F.col("col")).cast("double"))
