@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -12,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents whose candidates the tagger learns from, about; they are picked by a hash of their id. Candidates learned from at most.
-SAMPLE, RUNS = 8_000, 6_000
-#: Characters of the shortest candidate; tokens of the longest that is learned from.
-SHORTEST, LONGEST_LEARNED = 12, 24
+#: Documents that the tagger learns from, about; they are picked by a hash of their id. Windows of tokens learned from at most, and their length.
+SAMPLE, RUNS, WINDOW = 8_000, 6_000, 16
+#: Of windows without a label and without a token like a credential, one in so many is learned from.
+PLAIN = 16
+#: Characters of all distinct tokens that a worker remembers the features of; beyond, it starts anew.
+REMEMBERED = 1 << 24
 ROUNDS, RATE, RIDGE = 150, 0.1, 1e-3
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
@@ -26,11 +29,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-_DIGITS = re.compile(r"[0-9]+")
-_LEFT = re.compile(r"[A-Za-z0-9+/_.=-]*\Z")
-_RIGHT = re.compile(r"[A-Za-z0-9+/_.=-]*")
-_TOKEN = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]")
-_BEFORE = re.compile(r"([^\W_]*)([^\w\n]*)\Z")
+_PIECES = re.compile(r"\s+|[\w+/.-]+|[^\w\s+/.-]+")
+_PARTS = re.compile(r"[^A-Za-z0-9]+")
 # Words that stand before credentials.
 HINTS = frozenset("access api auth authorization bearer client credential credentials jwt key login passphrase passwd password private pwd secret session sign signature token".split())
 
@@ -52,25 +52,6 @@ def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Maximal runs of credential characters, SHORTEST at least, with a digit. All else is outside by construction."""
-    out, last = [], 0
-    for m in _DIGITS.finditer(text):
-        if m.start() < last:
-            continue
-        step = 32
-        while True:  # widen to the left until the run ends
-            at = max(last, m.start() - step)
-            start = _LEFT.search(text, at, m.start()).start()
-            if start > at or at == last:
-                break
-            step *= 4
-        last = _RIGHT.match(text, m.end()).end()
-        if last - start >= SHORTEST:
-            out.append((start, last))
-    return out
-
-
 def file_features(text: str) -> list[float]:
     """Of the whole text: shares of digits and of characters as in code, and length."""
     raw = text.encode("utf-8", "ignore")
@@ -83,55 +64,99 @@ def _entropy(s: str) -> float:
     return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values())
 
 
-#: Features of a token: its shape, the run's shape, neighbouring words and symbols, and those of the file.
-WIDTH = 26
-
-
-def run_features(text: str, start: int, end: int, of_file: list[float]) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """One row for each token of a candidate, and the tokens' places."""
-    run = text[start:end]
-    before = _BEFORE.search(text, max(0, start - 40), start)
-    after = text[end : end + 1]
-    word, signs = before[1].lower(), before[2]
-    letters = [c for c in run if c.isalpha()]
-    whole = [
-        min(1.0, len(run) / 64),
-        _entropy(run) / 6,
-        float(any(c.isupper() for c in letters) and any(c.islower() for c in letters)),
-        float(not letters),
-        float(all(c in "0123456789abcdefABCDEF" for c in run)),
-        sum(c.isdigit() for c in run) / len(run),
-        sum(a.isdigit() != b.isdigit() for a, b in zip(run, run[1:])) / len(run),
-        float(word in HINTS),
-        float("=" in signs or ":" in signs),
-        float('"' in signs or "'" in signs),
-        float(after in "\"'") if after else 0.0,
-        float(not word),
+#: Features of a token: its own shape, of its neighbours, of the file. What is kept of each distinct token: shape, and what neighbours ask of it.
+SHAPE, AROUND, WIDTH = 16, 8, 27
+SIGN, HINT, MARK, QUOTE, WORD = range(SHAPE, SHAPE + 5)
+
+
+def shape(t: str) -> list[float]:
+    """What a token shows by itself, and the five answers to its neighbours."""
+    sign = not any(c.isalnum() for c in t)
+    digits = sum(c.isdigit() for c in t)
+    upper, lower = any(c.isupper() for c in t), any(c.islower() for c in t)
+    hint = any(part in HINTS for part in _PARTS.split(t.lower()))
+    word = t.isalpha() and (t[1:] == t[1:].lower() or not lower)
+    own = [
+        sign,
+        min(1.0, len(t) / 64),
+        min(1.0, max(0, len(t) - 8) / 16),
+        _entropy(t) / 6,
+        digits > 0,
+        not sign and not upper and not lower,
+        digits / len(t),
+        upper and lower and not word,
+        not upper and not lower,
+        len(t) >= 8 and all(c in "0123456789abcdefABCDEF" for c in t),
+        sum(a.isdigit() != b.isdigit() for a, b in zip(t, t[1:])) / len(t),
+        not sign and any(c in ".-/" for c in t),
+        not sign and any(c in "+_" for c in t),
+        hint,
+        word,
+        not t.isascii(),
     ]
-    rows, places = [], []
-    tokens = list(_TOKEN.finditer(run))
-    for i, m in enumerate(tokens):
-        t = m[0]
-        alnum = t.isalnum()
-        rows.append(
-            [
-                float(alnum),
-                min(1.0, len(t) / 40),
-                float(any(c.isdigit() for c in t)),
-                float(t.isdigit()),
-                float(alnum and any(c.isupper() for c in t) and any(c.islower() for c in t)),
-                float(t in ".-"),
-                float(t in "+/=_"),
-                float(i == 0),
-                float(i == len(tokens) - 1),
-                float(alnum and t.lower() in HINTS),
-                float(i > 0 and tokens[i - 1][0].isalnum() and tokens[i - 1][0].lower() in HINTS),
-                *whole,
-                *of_file,
-            ]
-        )
-        places.append((start + m.start(), start + m.end()))
-    return np.array(rows).reshape(len(rows), WIDTH), places
+    return [float(v) for v in (*own, sign, hint, "=" in t or ":" in t, '"' in t or "'" in t, word)]
+
+
+class Shapes(dict):
+    """Numbers of distinct tokens, whose features are rows of ``rows``; 0 is blank."""
+
+    def __init__(self):
+        super().__init__()
+        self.rows = np.zeros((1 << 10, SHAPE + 5), np.float32)
+        self.used, self.chars = 1, 0
+
+    def __missing__(self, piece: str) -> int:
+        if piece[0].isspace():
+            number = 0
+        else:
+            if self.used == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            number, self.used = self.used, self.used + 1
+            self.rows[number] = shape(piece)
+        self.chars += len(piece) + 64
+        self[piece] = number
+        return number
+
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the tokens of a whole text, their starts and their ends."""
+        if self.chars > REMEMBERED:
+            self.clear()
+            self.used, self.chars = 1, 0
+        pieces = _PIECES.findall(text)
+        numbers = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        starts = np.concatenate([[0], ends[:-1]]) if len(pieces) else ends
+        on = numbers > 0
+        return numbers[on], starts[on], ends[on]
+
+
+def _moved(column: np.ndarray, by: int) -> np.ndarray:
+    """The column of the token ``by`` places before (after, if negative); 0 beyond the text."""
+    out = np.zeros_like(column)
+    if by > 0:
+        out[by:] = column[:-by]
+    else:
+        out[:by] = column[-by:]
+    return out
+
+
+def around(answers: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``AROUND`` features of each token by its neighbours: a hint, an assignment and quotes before it, and what follows."""
+    sign, hint, mark, quote, word = answers.T
+    one, two = _moved(sign, 1), _moved(sign, 1) * _moved(sign, 2)
+    glued = np.zeros(len(starts), np.float32)
+    glued[1:] = starts[1:] == ends[:-1]
+    near = np.maximum(_moved(hint, 1), np.maximum(one * _moved(hint, 2), two * _moved(hint, 3)))
+    assigned = np.maximum(_moved(mark, 1), one * _moved(mark, 2))
+    return np.stack([near, assigned, _moved(quote, 1), _moved(quote, -1), _moved(word, 1), _moved(word, -1), glued, _moved(glued, -1)], 1)
+
+
+def text_features(text: str, shapes: Shapes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row of ``WIDTH`` for each token of the whole text, the tokens' starts and ends."""
+    numbers, starts, ends = shapes.tokens(text)
+    rows = shapes.rows[numbers]
+    of_file = np.tile(np.array(file_features(text), np.float32), (len(rows), 1))
+    return np.concatenate([rows[:, :SHAPE], around(rows[:, SHAPE:], starts, ends), of_file], 1), starts, ends
 
 
 def run_labels(places: list[tuple[int, int]], secrets: list[tuple[int, int]]) -> list[int]:
@@ -148,14 +173,18 @@ class Crf:
     """Weights of a linear-chain conditional random field over outside, begin and inside."""
 
     def __init__(self, emit: np.ndarray, step: np.ndarray):
-        self.emit, self.step = emit, step  # (WIDTH + 1, 3), (3, 3); the token before a run is outside
+        self.emit, self.step = emit, step  # (WIDTH + 1, 3), (3, 3); the token before the first is outside
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return x @ self.emit[:-1] + self.emit[-1]
 
     def decode(self, x: np.ndarray) -> list[int]:
-        """The best sequence of tags, by Viterbi."""
-        scores, step = self.scores(x).tolist(), self.step.tolist()
+        """The best sequence of tags of rows of features."""
+        return self.path(self.scores(x))
+
+    def path(self, scores: np.ndarray) -> list[int]:
+        """The best sequence of tags, by Viterbi; the token before the first is outside."""
+        scores, step = scores.tolist(), self.step.tolist()
         now, back = [step[OUTSIDE][t] + scores[0][t] for t in range(3)], []
         for row in scores[1:]:
             came = [max(range(3), key=lambda s: now[s] + step[s][t]) for t in range(3)]
@@ -167,6 +196,35 @@ class Crf:
             out.append(tag := came[tag])
         return out[::-1]
 
+    def decode_text(self, scores: np.ndarray) -> list[tuple[int, int]]:
+        """``(first, beyond)`` token numbers of the spans on the best path through a whole text.
+
+        A token is outside on the best path for certain if that scores more than
+        three transitions can differ by and than the next token could lose by
+        beginning where it went on inside; for then any other path gains by
+        setting it outside. Such tokens divide the text, and Viterbi runs
+        between them: the path is that of the whole text.
+        """
+        if not len(scores):
+            return []
+        allowed = self.step[self.step > NEVER / 2]
+        going = np.zeros(len(scores))
+        going[:-1] = np.maximum(0, scores[1:, INSIDE] - scores[1:, BEGIN])
+        open_ = np.flatnonzero(scores[:, OUTSIDE] - scores[:, 1:].max(1) <= 3 * (allowed.max() - allowed.min()) + going)
+        out = []
+        for part in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1) if len(open_) else []:
+            first, beyond = int(part[0]), int(part[-1]) + 1
+            # with the certain token behind it, whose tag the path must also reach
+            tags = self.path(scores[first : beyond + 1])[: beyond - first] if beyond < len(scores) else self.path(scores[first:beyond])
+            start = None
+            for i, tag in enumerate([*tags, OUTSIDE], first):
+                if start is not None and tag != INSIDE:
+                    out.append((start, i))
+                    start = None
+                if tag == BEGIN:
+                    start = i
+        return out
+
 
 NEVER = -1e4
 
@@ -219,8 +277,20 @@ def fit(runs: list[tuple[np.ndarray, list[int]]]) -> Crf:
     return Crf(emit, step + barred)
 
 
+def windows(text: str, shapes: Shapes) -> list[tuple[np.ndarray, list[int]]]:
+    """Features and tags of windows of ``WINDOW`` tokens: all that hold a secret or a token with digits of 8 characters or more, and one in ``PLAIN`` others."""
+    x, starts, ends = text_features(text, shapes)
+    tags = run_labels(list(zip(starts.tolist(), ends.tolist())), [(s[3], s[4]) for s in base_spans(text)])
+    out = []
+    for k in range(0, len(tags), WINDOW):
+        own, y = x[k : k + WINDOW], tags[k : k + WINDOW]
+        if any(y) or ((own[:, 4] > 0) & (own[:, 1] >= 8 / 64)).any() or zlib.crc32(own.tobytes()) % PLAIN == 0:
+            out.append((own, [BEGIN if y[0] == INSIDE else y[0], *y[1:]]))
+    return out
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Crf:
-    """Learns the tagger from candidates that the fixed patterns label, each also with what stands before it left out, so that shape alone can tell."""
+    """Learns the tagger from windows that the fixed patterns label, each also with the neighbouring words left out, so that shape alone can tell."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = rows.count()
     parts = 1 << 20
@@ -228,50 +298,44 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(parts)) < parts * sample // total)
 
     def run(batches):
+        shapes = Shapes()
         for batch in batches:
-            x, y = [], []
-            for text in batch.column(0).to_pylist():
-                found = candidates(text)
-                if not found:
-                    continue
-                secrets, of_file = [(s[3], s[4]) for s in base_spans(text)], file_features(text)
-                for a, b in found:
-                    own, places = run_features(text, a, b, of_file)
-                    if len(places) <= LONGEST_LEARNED:
-                        x.append(own.ravel().tolist())
-                        y.append(run_labels(places, secrets))
+            found = [w for text in batch.column(0).to_pylist() for w in windows(text, shapes)]
+            x, y = [w.ravel().astype(float).tolist() for w, _ in found], [tags for _, tags in found]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.list_(pa.int32()))], names=["x", "y"])
 
     found = rows.select("text").mapInArrow(run, "x array<double>, y array<int>")
     kept = found.orderBy(F.xxhash64("x", "y"), "x", "y").limit(RUNS).collect()
     runs = [(np.array(r.x).reshape(-1, WIDTH), list(r.y)) for r in kept]
+    if not any(any(y) for _, y in runs):
+        return fit([])
     blind = []
     for x, y in runs:
         x = x.copy()
-        x[:, 18:23] = 0  # the neighbouring words and symbols
+        x[:, SHAPE : SHAPE + AROUND - 2] = 0  # the neighbouring words and symbols
         blind.append((x, y))
     return fit(runs + blind)
 
 
-def all_spans(text: str, crf: Crf) -> tuple[list[tuple], list[tuple]]:
-    """The base spans, and all spans: those and tagged ones that touch none of them."""
+def clipped(start: int, end: int, base: list[tuple], text: str) -> list[tuple[int, int]]:
+    """What base spans leave of a span, where a letter or digit is in it."""
+    out = []
+    for s in [*(s for s in base if s[0] < end and start < s[2]), (end, 0, end)]:
+        if start < s[0] and any(c.isalnum() for c in text[start : s[0]]):
+            out.append((start, min(s[0], end)))
+        start = max(start, s[2])
+    return out
+
+
+def all_spans(text: str, crf: Crf, shapes: Shapes) -> tuple[list[tuple], list[tuple]]:
+    """The base spans, and all spans: those and what they leave of tagged ones."""
     base = base_spans(text)
-    tagged = []
-    of_file = None
-    for a, b in candidates(text):
-        if any(s[0] < b and a < s[2] for s in base):
-            continue
-        of_file = of_file or file_features(text)
-        x, places = run_features(text, a, b, of_file)
-        start = None
-        for tag, place in [*zip(crf.decode(x), places), (OUTSIDE, (b, b))]:
-            if start is not None and tag != INSIDE:
-                tagged.append((start, len(KINDS), end, start, end))
-                start = None
-            if tag == BEGIN:
-                start = place[0]
-            end = place[1]
-    return base, sorted(base + tagged)
+    numbers, starts, ends = shapes.tokens(text)
+    rows = shapes.rows[numbers]
+    of_file = np.array(file_features(text)) @ crf.emit[SHAPE + AROUND : -1] + crf.emit[-1]
+    scores = rows[:, :SHAPE] @ crf.emit[:SHAPE] + around(rows[:, SHAPE:], starts, ends) @ crf.emit[SHAPE : SHAPE + AROUND] + of_file
+    tagged = [(int(starts[a]), int(ends[b - 1])) for a, b in crf.decode_text(scores)]
+    return base, sorted(base + [(a, len(KINDS), b, a, b) for span in tagged for a, b in clipped(*span, base, text)])
 
 
 def written(spans: list[tuple]) -> str:
@@ -283,23 +347,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     """One row per document row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans``.
 
     ``spans`` lists ``kind:start:end`` in code points, end exclusive, by start and
-    then kind; kinds are the fixed patterns and ``crf``. Tagged spans are added
-    where no base span lies, base spans always stay. Null and empty texts have
-    none. The tagger learns from some ``sample`` documents; without candidates
-    in them it tags nothing. Every text is scanned whole; repeated rows are scanned each for themselves, an empty
-    table gives no rows, other columns are ignored.
-
-    Tags begin and inside are open only to tokens of candidate runs, so the best
-    path through a text is that of each run between two outside tokens.
+    then kind; kinds are the fixed patterns and ``crf``. All tokens of a text are
+    one chain, and any of them may be tagged. Of tagged spans, what no base span
+    covers is added; base spans always stay. Null and empty texts have none. The
+    tagger learns from some ``sample`` documents; without a secret in them it
+    tags nothing. Every text is scanned whole; repeated rows are scanned each for
+    themselves, an empty table gives no rows, other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, id_col, text_col, sample))
 
     def run(batches):
-        crf = sent.value
+        crf, shapes = sent.value, Shapes()
         for batch in batches:
             counts, digests, spans = [[], [], []], [], []
             for text in batch.column(1).to_pylist():
-                base, every = all_spans(text, crf) if text else ([], [])
+                base, every = all_spans(text, crf, shapes) if text else ([], [])
                 for kind, column in enumerate(counts):
                     column.append(sum(s[1] == kind for s in base))
                 digests.append(hashlib.sha256(written(base).encode()).hexdigest())

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from gridloom.llm.secret_scan import BEGIN, INSIDE, OUTSIDE, WIDTH, Crf, base_spans, candidates, fit, learn, run_labels, scan, written
+from gridloom.llm.secret_scan import BEGIN, INSIDE, OUTSIDE, WIDTH, Crf, Shapes, base_spans, clipped, fit, learn, run_labels, scan, text_features, written
 
 SCHEMA = "doc_id long, text string, spans string"
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,11 +29,31 @@ def test_base_spans_against_brute_force():
         assert [(s, k, e) for s, k, e, _, _ in base_spans(text)] == plain_base(text)
 
 
-def test_candidates_are_the_maximal_runs():
-    rng = random.Random(4)
-    for text in [noise(rng) for _ in range(2000)] + ["a" * 5000 + "1" + "b" * 5000, "x" * 40 + "9"]:
-        want = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", text) if len(m[0]) >= 12 and re.search("[0-9]", m[0])]
-        assert candidates(text) == want
+def test_tokens_cover_all_but_blanks():
+    rng, shapes = random.Random(4), Shapes()
+    for text in [noise(rng) for _ in range(2000)] + ["", " \n", "a" * 5000 + " b", "長い é_x = 'p@ss!'"]:
+        x, starts, ends = text_features(text, shapes)
+        assert x.shape == (len(starts), WIDTH)
+        assert "".join(text[a:b] for a, b in zip(starts, ends)) == "".join(text.split())
+
+
+def test_path_of_a_text_is_that_of_its_whole_chain():
+    rng = np.random.default_rng(7)
+    for n in [0, 1, 2, *rng.integers(3, 60, 300)]:
+        step = rng.normal(size=(3, 3)) / 4
+        step[OUTSIDE, INSIDE] = -1e4
+        crf = Crf(rng.normal(size=(WIDTH + 1, 3)), step)
+        scores = rng.normal(size=(n, 3)) * 2 + np.array([2, 0, 0])
+        tags = crf.path(scores) if n else []
+        want = [(i, next((j for j in range(i + 1, n) if tags[j] != INSIDE), n)) for i in range(n) if tags[i] == BEGIN]
+        assert crf.decode_text(scores) == want
+
+
+def test_clipped():
+    text = "abcdefghij"
+    base = [(2, 0, 4, 2, 4), (3, 2, 6, 3, 6)]
+    assert clipped(0, 10, base, text) == [(0, 2), (6, 10)]
+    assert clipped(2, 6, base, text) == [] and clipped(6, 8, base, text) == [(6, 8)] and clipped(3, 7, base, text) == [(6, 7)]
 
 
 def test_viterbi_against_all_paths():
