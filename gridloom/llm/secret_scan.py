@@ -6,7 +6,6 @@ import hashlib
 import math
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +60,7 @@ def file_features(text: str) -> list[float]:
 
 
 def _entropy(s: str) -> float:
-    return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values())
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in map(s.count, set(s)))
 
 
 #: Features of a token: its own shape, of its neighbours, of the file. What is kept of each distinct token: shape, and what neighbours ask of it.
@@ -71,6 +70,10 @@ SIGN, HINT, MARK, QUOTE, WORD = range(SHAPE, SHAPE + 5)
 
 def shape(t: str) -> list[float]:
     """What a token shows by itself, and the five answers to its neighbours."""
+    if t.isalpha() and t.islower():  # most tokens; as below
+        hint, size = t in HINTS, [min(1.0, len(t) / 64), min(1.0, max(0, len(t) - 8) / 16), _entropy(t) / 6]
+        hexed = len(t) >= 8 and not t.strip("abcdef")
+        return [0.0, *size, *map(float, (0, 0, 0, 0, 0, hexed, 0, 0, 0, hint, 1, not t.isascii(), 0, hint, 0, 0, 1))]
     sign = not any(c.isalnum() for c in t)
     digits = sum(c.isdigit() for c in t)
     upper, lower = any(c.isupper() for c in t), any(c.islower() for c in t)
@@ -229,11 +232,6 @@ class Crf:
 NEVER = -1e4
 
 
-def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
-    top = a.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis=axis))
-
-
 def fit(runs: list[tuple[np.ndarray, list[int]]]) -> Crf:
     """Maximum conditional likelihood with a ridge, by Adam on all runs at once; marginals by forward and backward sums."""
     emit, step = np.zeros((WIDTH + 1, 3)), np.zeros((3, 3))
@@ -249,27 +247,30 @@ def fit(runs: list[tuple[np.ndarray, list[int]]]) -> Crf:
         x[i, : len(tags), :-1], x[i, : len(tags), -1], y[i, : len(tags)], on[i, : len(tags)] = own, 1, tags, True
     hot = np.eye(3)[y] * on[..., None]
     came = np.concatenate([np.tile(np.eye(3)[OUTSIDE], (len(runs), 1, 1)), np.eye(3)[y][:, :-1]], 1)
-    seen_emit = np.einsum("rtf,rtk->fk", x, hot)
+    flat = x.reshape(-1, WIDTH + 1)
+    seen_emit = flat.T @ hot.reshape(-1, 3)
     seen_step = np.einsum("rtj,rtk->jk", came, hot)
     first = [np.zeros_like(w) for w in (emit, step)]
     second = [np.zeros_like(w) for w in (emit, step)]
     for k in range(1, ROUNDS + 1):
-        scores, moves = x @ emit, step + barred
-        ahead = np.empty_like(scores)
-        ahead[:, 0] = moves[OUTSIDE] + scores[:, 0]
+        scores, move = (flat @ emit).reshape(hot.shape), np.exp(step + barred)
+        # sums over paths, scaled at each token; a floor keeps the path outside from vanishing
+        own = np.exp(np.maximum(scores - scores.max(2, keepdims=True), -60))
+        ahead, behind = np.empty_like(own), np.ones_like(own)
+        ahead[:, 0] = move[OUTSIDE] * own[:, 0]
         for t in range(1, longest):
-            new = _logsum(ahead[:, t - 1, :, None] + moves, 1) + scores[:, t]
-            ahead[:, t] = np.where(on[:, t, None], new, ahead[:, t - 1])
-        behind = np.zeros_like(scores)
+            new = (ahead[:, t - 1] @ move) * own[:, t]
+            ahead[:, t] = np.where(on[:, t, None], new / new.sum(1, keepdims=True), ahead[:, t - 1])
         for t in range(longest - 2, -1, -1):
-            new = _logsum(moves + (scores[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
-            behind[:, t] = np.where(on[:, t + 1, None], new, 0)
-        total = _logsum(ahead[:, -1], 1)
-        single = np.exp(np.minimum(0, ahead + behind - total[:, None, None])) * on[..., None]
-        pair = np.exp(np.minimum(0, ahead[:, :-1, :, None] + moves + (scores + behind)[:, 1:, None, :] - total[:, None, None, None])) * on[:, 1:, None, None]
+            new = (own[:, t + 1] * behind[:, t + 1]) @ move.T
+            behind[:, t] = np.where(on[:, t + 1, None], new / new.sum(1, keepdims=True), 1)
+        single = ahead * behind
+        single *= on[..., None] / single.sum(2, keepdims=True)
+        pair = ahead[:, :-1, :, None] * move * (own * behind)[:, 1:, None, :]
+        pair *= on[:, 1:, None, None] / pair.sum((2, 3), keepdims=True)
         slope_step = pair.sum((0, 1)) - seen_step
         slope_step[OUTSIDE] += single[:, 0].sum(0)
-        slopes = [(np.einsum("rtf,rtk->fk", x, single) - seen_emit) / len(runs) + RIDGE * emit, slope_step / len(runs) + RIDGE * step]
+        slopes = [(flat.T @ single.reshape(-1, 3) - seen_emit) / len(runs) + RIDGE * emit, slope_step / len(runs) + RIDGE * step]
         for w, s, m, v in zip((emit, step), slopes, first, second):
             m += 0.1 * (s - m)
             v += 0.01 * (s * s - v)
@@ -280,12 +281,15 @@ def fit(runs: list[tuple[np.ndarray, list[int]]]) -> Crf:
 def windows(text: str, shapes: Shapes) -> list[tuple[np.ndarray, list[int]]]:
     """Features and tags of windows of ``WINDOW`` tokens: all that hold a secret or a token with digits of 8 characters or more, and one in ``PLAIN`` others."""
     x, starts, ends = text_features(text, shapes)
-    tags = run_labels(list(zip(starts.tolist(), ends.tolist())), [(s[3], s[4]) for s in base_spans(text)])
+    secrets = [(s[3], s[4]) for s in base_spans(text)]
+    tags = run_labels(list(zip(starts.tolist(), ends.tolist())), secrets) if secrets else [OUTSIDE] * len(x)
+    wanted = set((np.flatnonzero((x[:, 4] > 0) & (x[:, 1] >= 8 / 64)) // WINDOW).tolist()) | {i // WINDOW for i, tag in enumerate(tags) if tag}
     out = []
-    for k in range(0, len(tags), WINDOW):
-        own, y = x[k : k + WINDOW], tags[k : k + WINDOW]
-        if any(y) or ((own[:, 4] > 0) & (own[:, 1] >= 8 / 64)).any() or zlib.crc32(own.tobytes()) % PLAIN == 0:
-            out.append((own, [BEGIN if y[0] == INSIDE else y[0], *y[1:]]))
+    for k in range((len(x) + WINDOW - 1) // WINDOW):
+        at = slice(k * WINDOW, (k + 1) * WINDOW)
+        if k in wanted or zlib.crc32(text[starts[at][0] : ends[at][-1]].encode("utf-8", "replace")) % PLAIN == 0:
+            y = tags[at]
+            out.append((x[at], [BEGIN if y[0] == INSIDE else y[0], *y[1:]]))
     return out
 
 

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from gridloom.llm.secret_scan import BEGIN, INSIDE, OUTSIDE, WIDTH, Crf, Shapes, base_spans, clipped, fit, learn, run_labels, scan, text_features, written
+from gridloom.llm.secret_scan import BEGIN, INSIDE, OUTSIDE, SHAPE, WIDTH, Crf, Shapes, base_spans, clipped, fit, learn, run_labels, scan, shape, text_features, written
 
 SCHEMA = "doc_id long, text string, spans string"
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -37,6 +37,15 @@ def test_tokens_cover_all_but_blanks():
         assert "".join(text[a:b] for a, b in zip(starts, ends)) == "".join(text.split())
 
 
+def test_short_way_of_shapes_is_the_long_one():
+    """A letter in upper case takes the long way; what it shows beside its case is the same."""
+    for word in ["token", "éa", "deadbeef", "deadbeefs", "a", "averyveryverylongwordofletters"]:
+        short, long = shape(word), shape(word[0].upper() + word[1:])
+        same = [i for i in range(len(short)) if i != 3]
+        assert len(short) == SHAPE + 5
+        assert [short[i] for i in same] == [long[i] for i in same]
+
+
 def test_path_of_a_text_is_that_of_its_whole_chain():
     rng = np.random.default_rng(7)
     for n in [0, 1, 2, *rng.integers(3, 60, 300)]:
