@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -18,7 +20,11 @@ SAMPLE, RUNS, WINDOW = 8_000, 6_000, 16
 PLAIN = 16
 #: Characters of all distinct tokens that a worker remembers the features of; beyond, it starts anew.
 REMEMBERED = 1 << 24
-ROUNDS, RATE, RIDGE = 150, 0.1, 1e-3
+#: Made-up secrets learned from for each that the patterns find, and the characters of its text kept around them.
+VARIANTS, CONTEXT = 6, 200
+ROUNDS, RATE, RIDGE = 150, 0.1, 1e-4
+#: Windows with a secret weigh as much as all others together, but each at most so many times as much as one of those.
+BALANCE = 30
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
 # The base patterns, in the order of their kinds.
@@ -233,7 +239,7 @@ NEVER = -1e4
 
 
 def fit(runs: list[tuple[np.ndarray, list[int]]]) -> Crf:
-    """Maximum conditional likelihood with a ridge, by Adam on all runs at once; marginals by forward and backward sums."""
+    """Maximum weighted conditional likelihood with a ridge, by Adam on all runs at once; marginals by forward and backward sums."""
     emit, step = np.zeros((WIDTH + 1, 3)), np.zeros((3, 3))
     emit[-1, OUTSIDE] = 1.0
     barred = np.zeros((3, 3))
@@ -245,7 +251,10 @@ def fit(runs: list[tuple[np.ndarray, list[int]]]) -> Crf:
     y, on = np.zeros((len(runs), longest), int), np.zeros((len(runs), longest), bool)
     for i, (own, tags) in enumerate(runs):
         x[i, : len(tags), :-1], x[i, : len(tags), -1], y[i, : len(tags)], on[i, : len(tags)] = own, 1, tags, True
-    hot = np.eye(3)[y] * on[..., None]
+    secret = (y * on > 0).any(1)
+    weight = np.where(secret, max(1, min(BALANCE, (~secret).sum() / max(1, secret.sum()))), 1.0)
+    weight /= weight.sum()
+    hot = np.eye(3)[y] * (on * weight[:, None])[..., None]
     came = np.concatenate([np.tile(np.eye(3)[OUTSIDE], (len(runs), 1, 1)), np.eye(3)[y][:, :-1]], 1)
     flat = x.reshape(-1, WIDTH + 1)
     seen_emit = flat.T @ hot.reshape(-1, 3)
@@ -265,12 +274,12 @@ def fit(runs: list[tuple[np.ndarray, list[int]]]) -> Crf:
             new = (own[:, t + 1] * behind[:, t + 1]) @ move.T
             behind[:, t] = np.where(on[:, t + 1, None], new / new.sum(1, keepdims=True), 1)
         single = ahead * behind
-        single *= on[..., None] / single.sum(2, keepdims=True)
+        single *= (on * weight[:, None])[..., None] / single.sum(2, keepdims=True)
         pair = ahead[:, :-1, :, None] * move * (own * behind)[:, 1:, None, :]
-        pair *= on[:, 1:, None, None] / pair.sum((2, 3), keepdims=True)
+        pair *= (on * weight[:, None])[:, 1:, None, None] / pair.sum((2, 3), keepdims=True)
         slope_step = pair.sum((0, 1)) - seen_step
         slope_step[OUTSIDE] += single[:, 0].sum(0)
-        slopes = [(flat.T @ single.reshape(-1, 3) - seen_emit) / len(runs) + RIDGE * emit, slope_step / len(runs) + RIDGE * step]
+        slopes = [(flat.T @ single.reshape(-1, 3) - seen_emit) + RIDGE * emit, slope_step + RIDGE * step]
         for w, s, m, v in zip((emit, step), slopes, first, second):
             m += 0.1 * (s - m)
             v += 0.01 * (s * s - v)
@@ -278,10 +287,38 @@ def fit(runs: list[tuple[np.ndarray, list[int]]]) -> Crf:
     return Crf(emit, step + barred)
 
 
+def varied(text: str, start: int, end: int, rng: random.Random) -> tuple[str, int, int]:
+    """What stands around a secret with another one in its place, of other characters and introduced in another way."""
+    letters, digits = string.ascii_letters, string.digits
+    some = rng.choice([letters, letters + digits, string.ascii_lowercase + digits, string.ascii_uppercase + digits, letters + digits + "+/", letters + digits + "@!$#%"])
+    value = "".join(rng.choices(some, k=rng.randint(8, 44)))
+    if rng.random() < 0.25:
+        value += rng.choice(".-_") + "".join(rng.choices(letters + digits, k=rng.randint(8, 44)))
+    word = rng.choice(sorted(HINTS))
+    before = text[max(0, start - CONTEXT) : start] + rng.choice([word, word.upper(), word.title(), f"my_{word}"]) + rng.choice([": ", "=", " = ", ' = "', ": '", " ", ":"])
+    return before + value + " " + text[end : end + CONTEXT], len(before), len(before) + len(value)
+
+
 def windows(text: str, shapes: Shapes) -> list[tuple[np.ndarray, list[int]]]:
-    """Features and tags of windows of ``WINDOW`` tokens: all that hold a secret or a token with digits of 8 characters or more, and one in ``PLAIN`` others."""
+    """Features and tags of windows of ``WINDOW`` tokens: all that hold a secret or a token with digits of 8 characters or more, and one in ``PLAIN`` others.
+
+    The patterns know few forms, so each secret is also learned from with
+    ``VARIANTS`` made-up ones in its place, drawn by a hash of the text.
+    """
+    base, rng = base_spans(text), random.Random(zlib.crc32(text.encode("utf-8", "replace")))
+    out, of_file = _windows(text, [(s[3], s[4]) for s in base], shapes), file_features(text)
+    for s in base:
+        for _ in range(VARIANTS):
+            around_it, a, b = varied(text, s[0], s[2], rng)
+            for x, y in _windows(around_it, [(a, b)], shapes):
+                if any(y):
+                    x[:, SHAPE + AROUND :] = of_file
+                    out.append((x, y))
+    return out
+
+
+def _windows(text: str, secrets: list[tuple[int, int]], shapes: Shapes) -> list[tuple[np.ndarray, list[int]]]:
     x, starts, ends = text_features(text, shapes)
-    secrets = [(s[3], s[4]) for s in base_spans(text)]
     tags = run_labels(list(zip(starts.tolist(), ends.tolist())), secrets) if secrets else [OUTSIDE] * len(x)
     wanted = set((np.flatnonzero((x[:, 4] > 0) & (x[:, 1] >= 8 / 64)) // WINDOW).tolist()) | {i // WINDOW for i, tag in enumerate(tags) if tag}
     out = []

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from gridloom.llm.secret_scan import BEGIN, INSIDE, OUTSIDE, SHAPE, WIDTH, Crf, Shapes, base_spans, clipped, fit, learn, run_labels, scan, shape, text_features, written
+from gridloom.llm.secret_scan import BEGIN, INSIDE, OUTSIDE, SHAPE, WIDTH, Crf, Shapes, base_spans, clipped, fit, learn, run_labels, scan, shape, text_features, varied, written
 
 SCHEMA = "doc_id long, text string, spans string"
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -126,3 +126,11 @@ def test_empty(spark):
     assert scan(spark.createDataFrame([], SCHEMA)).collect() == []
     assert learn(spark.createDataFrame([(1, "no digits", "")], SCHEMA)).decode(np.zeros((1, WIDTH))) == [OUTSIDE]
     assert written([]) == ""
+
+
+def test_made_up_secrets_stand_where_they_say():
+    rng = random.Random(8)
+    text = "x" * 500 + ' token = "abcdef123456" ' + "y" * 500
+    for _ in range(200):
+        got, a, b = varied(text, 501, 523, rng)
+        assert 8 <= b - a <= 90 and not re.search(r"\s", got[a:b]) and got[:200] == text[301:501]
