@@ -4,8 +4,10 @@ Source and target become points on a sphere; space is cut into cubes whose edge
 is the radius, so all neighbours of a target are in its own cube or one of the
 26 around it. The smaller side lists the cubes around its points and meets the
 other by cube number - a hash join that Spark can shuffle, broadcast or, at
-dense cubes, split - and the exact distance decides. The result is a table of
-edges that any number of data sets can be gathered through.
+dense cubes, split - and the exact distance decides. Where such cubes hold many
+sources, each target looks only as far as its nearest ones may be, in smaller
+cubes. The result is a table of edges that any number of data sets can be
+gathered through.
 """
 
 from __future__ import annotations
@@ -22,16 +24,104 @@ from gridloom.plans.area import AreaSpec
 from gridloom.sources.scans import area_grid
 
 
-def _cubes(df: DataFrame, keys: list[str], radius: float, prefix: str, around: bool) -> DataFrame:
+#: Source points that a cube may hold, as its points see it, before smaller cubes are used; and ``k`` times as many on top.
+CROWD, CROWD_K = 16, 4
+#: Cubes of this edge at least keep their three numbers within 21 bits each.
+LEAST_EDGE = 6.2
+
+
+def _points(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     x, y, z = geocentric_xyz(F.col("lon"), F.col("lat"))
-    out = legal(df).select(*[F.col(k).alias(f"{prefix}{k}") for k in keys], x.alias(f"{prefix}x"), y.alias(f"{prefix}y"), z.alias(f"{prefix}z"))
-    edge = radius * (1 + 1e-9)
-    cell = lambda c, d: F.floor(F.col(f"{prefix}{c}") / edge).cast("long") + d
-    number = lambda dx, dy, dz: (cell("x", dx) * 4_000_037 + cell("y", dy)) * 4_000_037 + cell("z", dz)
-    if not around:
-        return out.withColumn("cube", number(0, 0, 0))
-    steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
-    return out.withColumn("cube", F.explode(F.array(*[number(*s) for s in steps])))
+    return legal(df).select(*[F.col(k).alias(f"{prefix}{k}") for k in keys], x.alias(f"{prefix}x"), y.alias(f"{prefix}y"), z.alias(f"{prefix}z"))
+
+
+def _at(prefix: str, axis: str, edge: float, level: Column | int) -> Column:
+    """A coordinate in edges of the cubes of a level; each level halves the edge."""
+    scale = F.lit(float(1 << level)) if isinstance(level, int) else F.expr(f"shiftleft(1L, {prefix}level)").cast("double")
+    return F.col(f"{prefix}{axis}") * scale / edge
+
+
+def _number(prefix: str, edge: float, level: Column | int) -> Column:
+    """The number of a point's cube: neighbours along an axis are a constant apart."""
+    x, y, z = (F.floor(_at(prefix, c, edge, level)).cast("long") + (1 << 20) for c in "xyz")
+    return (x * (1 << 21) + y) * (1 << 21) + z
+
+
+def _steps() -> list[tuple[int, int, int, int]]:
+    return [(((a << 21) + b << 21) + c, a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
+
+
+def _dist2() -> Column:
+    out = F.lit(0.0)
+    for c in "xyz":
+        out = out + (F.col(f"s_{c}") - F.col(f"t_{c}")) * (F.col(f"s_{c}") - F.col(f"t_{c}"))
+    return out
+
+
+def _crowds(points: DataFrame, edge: float, level: int, k: int) -> float:
+    """How many times too many points meet in the cubes of a level; 1 or less if they are few."""
+    n = F.col("n").cast("double")
+    found = points.groupBy(_number("s_", edge, level).alias("cube")).agg(F.count("*").alias("n")).agg(F.sum(n), F.sum(n * n), F.max(n)).first()
+    return max(found[1] / found[0], found[2] / 32) / (CROWD + CROWD_K * k) if found[0] else 0.0
+
+
+def _depth(places: DataFrame, edge: float, k: int) -> int:
+    """The level whose cubes hold few places each, or the last there is."""
+    level, last = 0, max(0, math.floor(math.log2(edge / LEAST_EDGE)))
+    while level < last:
+        over = _crowds(places, edge, level, k)
+        if over <= 1:
+            break
+        # on a surface the cubes of the next level hold a quarter
+        level = min(last, level + max(1, int(math.log(over, 4))))
+    return level
+
+
+def _nearest(pairs: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def _crowded_join(s: DataFrame, t: DataFrame, radius: float, edge: float, k: int, s_keys: list[str], t_keys: list[str]) -> DataFrame:
+    """The edges of ``knn_join`` where the cubes as wide as the radius hold many sources.
+
+    Of sources at one place only the ``k`` least keys can be among the nearest,
+    and targets at one place have the same neighbours. Each place takes the
+    smallest cube around it that holds ``k`` sources: the ``k``-th distance in
+    there is how far it has to look. Then it meets the cubes that this ball
+    touches, of the smallest level whose edge is no less. So a target meets some
+    multiple of ``k`` sources however many lie within the radius.
+    """
+    at = ["t_x", "t_y", "t_z"]
+    s = _nearest(s, ["s_x", "s_y", "s_z"], s_keys, k).drop("rank")
+    depth = _depth(s.select("s_x", "s_y", "s_z").distinct(), edge, k)
+    levels = lambda prefix: F.explode(F.array(*[F.struct(F.lit(j).alias("level"), _number(prefix, edge, j).alias("cube")) for j in range(depth + 1)])).alias("_c")
+    listed = s.select("*", levels("s_")).select(*s_keys, "s_x", "s_y", "s_z", F.col("_c.level").alias("level"), F.col("_c.cube").alias("cube"))
+    enough = listed.groupBy("level", "cube").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("level", "cube", F.lit(True).alias("enough"))
+    own = t.select(*at).distinct().select("*", levels("t_")).select(*at, F.col("_c.level").alias("level"), F.col("_c.cube").alias("cube"))
+    own = own.join(enough, ["level", "cube"], "left")
+    own = own.groupBy(*at).agg(F.max(F.when(F.col("enough"), F.struct("level", "cube"))).alias("_c")).select(*at, "_c.level", "_c.cube")
+    # all of such a cube's sources, or one row without any
+    inside = own.join(listed.select("level", "cube", "s_x", "s_y", "s_z"), ["level", "cube"], "left").select(*at, F.sqrt(_dist2()).alias("dist"))
+    if k == 1:
+        reach = inside.groupBy(*at).agg(F.min("dist").alias("reach"))
+    else:
+        reach = _nearest(inside, at, ["dist"], k).where((F.col("rank") == k) | F.col("dist").isNull()).select(*at, F.col("dist").alias("reach"))
+    reach = reach.select(*at, F.least(F.coalesce("reach", F.lit(float(radius))), F.lit(float(radius))).alias("reach"))
+    level = F.lit(0)
+    for j in range(1, depth + 1):
+        level = level + (F.col("reach") * (1 + 1e-6) <= edge / (1 << j)).cast("int")
+    ball = reach.withColumn("t_level", level)
+    ball = ball.select("*", _number("t_", edge, F.col("t_level")).alias("cube"), *[(_at("t_", c, edge, F.col("t_level")) - F.floor(_at("t_", c, edge, F.col("t_level")))).alias(f"in_{c}") for c in "xyz"], (F.col("reach") * F.expr("shiftleft(1L, t_level)").cast("double") / edge * (1 + 1e-9) + 1e-9).alias("r"))
+    gap = lambda c, d: F.lit(0.0) if d == 0 else F.pow(F.col(f"in_{c}") if d < 0 else 1 - F.col(f"in_{c}"), F.lit(2.0))
+    touched = [F.when(gap("x", a) + gap("y", b) + gap("z", c) <= F.col("r") * F.col("r"), F.col("cube") + F.lit(step).cast("long")) for step, a, b, c in _steps()]
+    ball = ball.select(*at, "reach", F.col("t_level").alias("level"), F.explode(F.array_compact(F.array(*touched))).alias("cube"))
+    pairs = ball.join(listed, ["level", "cube"]).select("*", _dist2().alias("dist2")).where(F.col("dist2") < float(radius) ** 2)
+    pairs = pairs.select(*at, "reach", *s_keys, F.sqrt("dist2").alias("dist")).where(F.col("dist") <= F.col("reach")).drop("reach")
+    if k == 1:
+        best = pairs.groupBy(*at).agg(F.min(F.struct("dist", *s_keys)).alias("b")).select(*at, F.lit(1).alias("rank"), *[F.col(f"b.{c}").alias(c) for c in s_keys], F.col("b.dist").alias("dist"))
+    else:
+        best = _nearest(pairs, at, ["dist", *s_keys], k)
+    return t.join(best, at).select(*t_keys, "rank", *s_keys, "dist")
 
 
 def knn_join(source: DataFrame, target: DataFrame, radius: float, k: int = 1, source_keys: list[str] | None = None, target_keys: list[str] | None = None, around: str = "target") -> DataFrame:
@@ -40,26 +130,26 @@ def knn_join(source: DataFrame, target: DataFrame, radius: float, k: int = 1, so
     ``around`` names the side whose points list the cubes around them: the
     smaller one. Distances are chords on the sphere; ties go by the source keys.
     Targets without a neighbour have no edge. Locations off the earth or missing
-    take no part.
+    take no part. The sources are counted by cube first: where many share one,
+    smaller cubes are used (see ``_crowded_join``), with the same edges.
     """
     if radius <= 0 or k < 1:
         raise ValueError("radius and k must be positive")
     source_keys, target_keys = source_keys or ["row", "col"], target_keys or ["row", "col"]
-    # cubes of 100 m at least keep their numbers within a long
-    edge = max(float(radius), 100.0)
-    s = _cubes(source, source_keys, edge, "s_", around == "source")
-    t = _cubes(target, target_keys, edge, "t_", around == "target")
-    apart = F.lit(0.0)
-    for c in "xyz":
-        apart = apart + (F.col(f"s_{c}") - F.col(f"t_{c}")) * (F.col(f"s_{c}") - F.col(f"t_{c}"))
-    pairs = t.join(s, "cube").withColumn("dist2", apart).where(F.col("dist2") < float(radius) ** 2)
+    edge = max(float(radius), 100.0) * (1 + 1e-6)
+    s, t = _points(source, source_keys, "s_"), _points(target, target_keys, "t_")
     t_keys, s_keys = [f"t_{c}" for c in target_keys], [f"s_{c}" for c in source_keys]
+    if _crowds(s, edge, 0, k) > 1:
+        return _crowded_join(s, t, radius, edge, k, s_keys, t_keys)
+    s, t = s.withColumn("cube", _number("s_", edge, 0)), t.withColumn("cube", _number("t_", edge, 0))
+    near = F.explode(F.array(*[F.col("cube") + F.lit(step).cast("long") for step, *_ in _steps()]))
+    s, t = (s.withColumn("cube", near), t) if around == "source" else (s, t.withColumn("cube", near))
+    pairs = t.join(s, "cube").withColumn("dist2", _dist2()).where(F.col("dist2") < float(radius) ** 2)
     pairs = pairs.select(*t_keys, *s_keys, F.sqrt("dist2").alias("dist"))
     if k == 1:
         best = pairs.groupBy(*t_keys).agg(F.min(F.struct("dist", *s_keys)).alias("b"))
         return best.select(*t_keys, F.lit(1).alias("rank"), *[F.col(f"b.{c}").alias(c) for c in s_keys], F.col("b.dist").alias("dist"))
-    rank = F.row_number().over(Window.partitionBy(*t_keys).orderBy("dist", *s_keys))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(*t_keys, "rank", *s_keys, "dist")
+    return _nearest(pairs, t_keys, ["dist", *s_keys], k).select(*t_keys, "rank", *s_keys, "dist")
 
 
 def smaller_side(source: DataFrame, target: AreaSpec) -> str:

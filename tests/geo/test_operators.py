@@ -109,6 +109,40 @@ def test_join_against_brute_force(spark, k, radius, around):
     assert got == want
 
 
+def _joined_rows(node) -> int:
+    """The most rows that any join of an executed plan put out."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        below = [node.executedPlan()]
+    elif kind.endswith("QueryStageExec"):
+        below = [node.plan()]
+    else:
+        below = [node.children().apply(i) for i in range(node.children().size())]
+    return max([node.metrics().apply("numOutputRows").value() if "Join" in kind else 0, *map(_joined_rows, below)])
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_crowds_against_brute_force(spark, k):
+    """Many sources within the radius, at distinct places and at one: right edges, from far fewer pairs than there are."""
+    rng = np.random.default_rng(7)
+    near, spot = np.stack([rng.normal(12, 0.2, 2000), rng.normal(55, 0.2, 2000)], 1), np.repeat([[100.0, 20.0]], 1000, 0)
+    far = np.stack([rng.uniform(-180, 180, 300), rng.uniform(-80, 80, 300)], 1)
+    s = np.concatenate([near, spot, far])
+    t = np.concatenate([near + 0.001, spot, far[:50] + 0.1, [[100.5, 20.5], [13.5, 56]]])
+    t[:, 0] = np.where(t[:, 0] > 180, t[:, 0] - 360, t[:, 0])
+    frames = [spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "i int, lon double, lat double") for x in (s, t)]
+    edges = knn.knn_join(*frames, 300_000, k, ["i"], ["i"])
+    got = {(r.t_i, r["rank"]): r.s_i for r in edges.collect()}
+    a, b = (np.stack(geocentric_xyz(x[:, 0], x[:, 1]), 1) for x in (s, t))
+    want = {}
+    for j, p in enumerate(b):
+        d = np.linalg.norm(a - p, axis=1)
+        for n, i in enumerate([i for i in np.argsort(d, kind="stable")[:k] if d[i] < 300_000]):
+            want[j, n + 1] = i
+    assert got == want
+    assert _joined_rows(edges._jdf.queryExecution().executedPlan()) < 400_000  # 5 million pairs lie within the radius
+
+
 def test_edges_survive_a_file(spark, sw, tmp_path):
     area = AreaSpec.make(STERE, 40, 40, AREA_D.extent)
     edges = knn.neighbours(sw, area, 50_000, 2)
