@@ -160,6 +160,25 @@ def test_cells_make_few_pairs_of_a_crowd(spark):
     assert dedup_lines(df, counts=True).agg(F.sum("n_removed")).first()[0] == len(texts) - 1
 
 
+def test_crowds_lose_no_link(spark):
+    """A crowd whose lines are alike in twos only: no star around one line finds them, and one fingerprint block in common is not needed."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    texts = []
+    for _ in range(40):
+        line = [word() for _ in range(30)]
+        other = list(line)
+        for i in rng.sample(range(30), 5):
+            other[i] = word()
+        texts += [" ".join(line), " ".join(other)]
+    assert all(levenshtein(a, b) <= 0.2 * len(b) for a, b in zip(texts[::2], texts[1::2]))
+    df = spark.createDataFrame(list(enumerate(texts)), "line long, text string").select("line", "text", F.length("text").alias("chars"), F.xxhash64("line").alias("r"))
+    # all share one cell; fingerprints are any
+    lines = df.select("line", "chars", F.col("r").bitwiseAND(F.lit((1 << 60) - 1)).alias("bits"), F.array(*[F.lit(i).cast("long") for i in range(5)]).alias("sketch"))
+    groups = line_dedup.alike(lines, lambda wanted: df.join(wanted, "line").select("line", F.col("text").alias("norm")), Work(spark, "test"), 8)
+    assert {(r.node, r.component) for r in groups.collect()} == {(i, i - i % 2) for i in range(80)}
+
+
 def test_words_are_letters_and_digits(spark):
     line = "one well-known line of (some) plain words"
     assert removed(spark, [line, "• One well–known line — of [some] “plain” words …"]) == {1}
