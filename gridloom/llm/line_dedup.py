@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.graph import components
@@ -23,6 +23,10 @@ SKETCH, SHARED = 5, 3
 DENSE = 64
 #: Lines of a crowd that a task pairs with others at a time.
 BLOCK = 256
+#: Next longer lines of its block that a line of a crowd is paired with before the pairs that are left.
+NEAR = 4
+#: Characters that are counted one by one for the bound on edits; all others count as one kind.
+LETTERS = " etaoinsrhldcumfpgbvwykqz"
 #: Rounds of one pair of any two groups before all pairs that are left.
 ROUNDS = 1
 #: Lines that a broadcast list of places may name (some 32 bytes each); with more, the list is joined by a shuffle.
@@ -85,53 +89,76 @@ def _cells() -> Column:
 
 
 def candidates(lines: DataFrame, work: Work, dense: int = DENSE) -> DataFrame:
-    """Pairs ``(a, b)`` of ``line`` numbers that share a cell; of crowds, a star. All lines of crowds stay in table ``shared``.
+    """Pairs ``(a, b)`` of ``line`` numbers that share a cell; of crowds, a star and the next in length. All lines of crowds stay in table ``shared``.
 
     Lines meet in the cells of the pigeonhole blocks: halves of the fingerprint,
     of which one is the same if the other takes all changes, and threes of the
     five least word-pair hashes - one replaced word changes two pairs at most, so
     three stay. In a cell of up to ``dense`` lines these are all pairs. Of a
-    crowd, each line is paired with the least one; its other pairs are left to
-    ``_crowd_links``, which knows the groups that are found by then.
+    crowd, each line is paired with the least one and, in its block of lines
+    that are about as long, with the ``NEAR`` next longer ones; the other pairs
+    are left to ``_crowd_links``, which knows the groups that are found by then.
     """
     rows = lines.select("line", "chars", F.explode(_cells()).alias("cell"))
     size = rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("line").alias("heart")).where("n > 1")
     shared = work.table(rows.join(size, "cell"), "shared")
     few = shared.where(F.col("n") <= dense).select("cell", "line")
     met = few.alias("l").join(few.alias("r"), (F.col("l.cell") == F.col("r.cell")) & (F.col("l.line") < F.col("r.line")))
-    star = shared.where(F.col("n") > dense).where("line <> heart")
-    return work.table(met.select(F.col("l.line").alias("a"), F.col("r.line").alias("b")).union(star.select("heart", "line")).distinct(), "pairs")
+    crowd = shared.where(F.col("n") > dense)
+    star = crowd.where("line <> heart").select("heart", "line")
+    by_length = Window.partitionBy("cell", _band(), _block()).orderBy("chars", "line")
+    near = crowd.select("line", F.array(*[F.lead("line", k).over(by_length) for k in range(1, NEAR + 1)]).alias("next"))
+    near = near.select("line", F.explode("next").alias("next")).where("next is not null").select(F.least("line", "next"), F.greatest("line", "next"))
+    return work.table(met.select(F.col("l.line").alias("a"), F.col("r.line").alias("b")).union(star).union(near).distinct(), "pairs")
+
+
+def _band() -> Column:
+    """Number of the length: a factor of 1.26 a band, so that alike lines, which differ by a fifth at most, are a band apart at most."""
+    return F.floor(F.log("chars") / F.log(F.lit(1.26)))
+
+
+def _block() -> Column:
+    """The part, of some ``BLOCK`` lines, of a crowd of ``n`` that a line is dealt to."""
+    return F.pmod(F.xxhash64("line"), F.ceil(F.col("n") / BLOCK))
 
 
 def _crowd_links(groups: DataFrame, norm: DataFrame, work: Work, dense: int) -> DataFrame:
     """Pairs ``(a, b)`` of alike lines of different ``groups`` that share a crowd: every such pair is compared.
 
-    Crowds of one group have none. Lines meet by crowd and by length, a factor
-    of 1.26 a band, since alike ones differ by a fifth at most; large crowds are
-    dealt out in blocks. A pair of several crowds is compared in the first. Texts
-    are shuffled once a crowd and not once a pair.
+    Crowds of one group have none. Lines meet by crowd and by length, since
+    alike ones differ by a fifth at most; large crowds are dealt out in blocks. A
+    pair of several crowds is compared in the first, and only if the counts of
+    characters of its lines leave room for it (see ``_apart``). Texts are shuffled
+    once a crowd and not once a pair.
     """
     named = work.read("shared").where(F.col("n") > dense).join(groups.withColumnRenamed("node", "line"), "line", "left").withColumn("group", F.coalesce("component", "line"))
     mixed = named.groupBy("cell").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("cell")
     # of a line: its group, length and the crowds it is in
     members = named.join(mixed, "cell").groupBy("line", "group", "chars").agg(F.sort_array(F.collect_list(F.struct("cell", "n"))).alias("cells"))
-    members = work.table(members.join(norm, "line"), "members")
-    blocks = F.ceil(F.col("c.n") / BLOCK)
-    band = F.floor(F.log("chars") / F.log(F.lit(1.26)))
-    own = members.select("*", F.explode("cells").alias("c"), band.alias("band"))
-    x = own.select(F.col("c.cell").alias("cell"), F.pmod(F.xxhash64("line"), blocks).alias("block"), "band", F.col("line").alias("a"), F.col("group").alias("g"), F.col("chars").alias("n"), F.col("cells.cell").alias("in_a"), F.col("norm").alias("x"))
-    y = own.select(F.col("c.cell").alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "band", F.col("line").alias("b"), F.col("group").alias("h"), F.col("chars").alias("m"), F.col("cells.cell").alias("in_b"), F.col("norm").alias("y"))
+    members = work.table(members.join(norm, "line").withColumn("bag", _bag()), "members")
+    own = members.select("*", F.explode("cells").alias("c"), _band().alias("band")).select("*", "c.cell", "c.n").drop("c")
+    x = own.select("cell", _block().alias("block"), "band", F.col("line").alias("a"), F.col("group").alias("g"), F.col("chars").alias("n"), F.col("cells.cell").alias("in_a"), F.col("norm").alias("x"), F.col("bag").alias("bag_a"))
+    y = own.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)).alias("block"), "band", F.col("line").alias("b"), F.col("group").alias("h"), F.col("chars").alias("m"), F.col("cells.cell").alias("in_b"), F.col("norm").alias("y"), F.col("bag").alias("bag_b"))
     y = y.select("*", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("_band")).drop("band").withColumnRenamed("_band", "band")
     # few bytes and much work: dealt out by number
     spark, on = norm.sparkSession, ["cell", "block", "band"]
     tasks = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     both = x.repartition(tasks, *on).join(y.repartition(tasks, *on), on).where("a < b and g <> h").where(F.abs(F.col("n") - F.col("m")) <= _limit())
-    both = both.where(F.col("cell") == F.element_at(F.array_intersect("in_a", "in_b"), 1))
-    # edits within a start cost it twice at most against the other's start of that length, as the cut moves no further; so of ends
-    piece = F.floor(F.least("n", "m") * 0.35).cast("int")
-    ends = F.levenshtein(F.left("x", piece), F.left("y", piece)) + F.levenshtein(F.right("x", piece), F.right("y", piece))
+    both = both.where(_apart() <= _limit()).where(F.col("cell") == F.element_at(F.array_intersect("in_a", "in_b"), 1))
     # written before they are filtered, as in alike()
-    return work.table(both.select("a", "b", F.when(ends <= 2 * _limit(), _good()).otherwise(False).alias("good")), "crowd-links").where("good").select("a", "b")
+    return work.table(_verdicts(both), "crowd-links").where("good").select("a", "b")
+
+
+def _bag() -> Column:
+    """How often each of ``LETTERS`` is in ``norm``, and how many others."""
+    counts = [F.length("norm") - F.length(F.replace("norm", F.lit(c))) for c in LETTERS]
+    return F.array(*counts, F.length("norm") - reduce(Column.__add__, counts))
+
+
+def _apart() -> Column:
+    """Edits that lines of lengths ``n`` and ``m`` need at least: one takes one character at most out of a bag and puts one in at most."""
+    out = reduce(Column.__add__, [F.greatest(F.get("bag_a", F.lit(i)) - F.get("bag_b", F.lit(i)), F.lit(0)) for i in range(len(LETTERS) + 1)])
+    return F.greatest(out, out - F.col("n") + F.col("m"))
 
 
 def alike(lines: DataFrame, texts, work: Work, dense: int = DENSE) -> DataFrame:
@@ -193,7 +220,37 @@ def _judge(pairs: DataFrame, norm: DataFrame) -> DataFrame:
     spark = pairs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     both = pairs.join(x, "a").join(y, "b").where(F.abs(F.col("n") - F.col("m")) <= _limit()).repartition(tasks)
-    return both.select("a", "b", _good().alias("good"))
+    return _verdicts(both)
+
+
+def _verdicts(both: DataFrame) -> DataFrame:
+    """``(a, b, good)`` of rows of two lines ``x`` and ``y``, their lengths ``n`` and ``m``.
+
+    Most alike lines are so word by word, which is seen in one pass over the
+    words; levenshtein() takes the product of the lengths even for few edits. It
+    decides of all others.
+    """
+    both = both.select("a", "b", "x", "y", "n", "m", F.split("x", " ").alias("xs"), F.split("y", " ").alias("ys"))
+    return both.select("a", "b", F.when(_by_words() <= _limit(), True).otherwise(_good()).alias("good"))
+
+
+def _by_words() -> Column:
+    """Edits that are enough to turn words ``xs`` into ``ys``: words are replaced, left out and put in, whichever makes the next words the same.
+
+    Each word counts with a space behind it, and a replaced one as the longer of
+    the two. It is a bound: other ways may need fewer edits, none are forgotten.
+    """
+
+    def step(s, i):
+        w, following = F.get("xs", i), F.get("xs", i + 1)
+        y0, y1, y2 = (F.get("ys", s["j"] + k) for k in range(3))
+        state = lambda j, used, cost: F.struct((s["j"] + j).alias("j"), (s["used"] + used).alias("used"), (s["cost"] + cost).alias("cost"))
+        l0, l1, l2, own = F.length(y0) + 1, F.length(y1) + 1, F.length(y2) + 1, F.length(w) + 1
+        out = F.when(w == y0, state(1, l0, 0)).when(w == y1, state(2, l0 + l1, l0)).when(y0.isNull() | (following == y0), state(0, 0, own))
+        return out.when(w == y2, state(3, l0 + l1 + l2, l0 + l1)).otherwise(state(1, l0, F.greatest(l0, own) - 1))
+
+    start = F.struct(F.lit(0).alias("j"), F.lit(0).alias("used"), F.lit(0).alias("cost"))
+    return F.aggregate(F.sequence(F.lit(0), F.size("xs") - 1), start, step, lambda s: s["cost"] + F.length("y") + 1 - s["used"])
 
 
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -191,3 +191,35 @@ def test_long_lines_are_judged_in_bands(spark):
     pairs = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(len(rows))], "a long, b long")
     got = {rows[r.a // 2][0] for r in line_dedup._judge(pairs, norm_).where("good").collect()}
     assert got == {name for name, x, y in rows if int(name.split(":")[1]) <= len(x) // 5}
+
+
+def test_words_bound_edits(spark):
+    """What the words and the counts of characters say is on either side of the edit distance; near copies are seen by their words alone."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijä") for _ in range(rng.randint(1, 6)))
+    rows = []
+    for i in range(300):
+        x = [word() for _ in range(rng.randint(1, 30))]
+        y = [w for w in x for w in rng.choice([[w]] * 12 + [[], [word()], [w, word()], [word(), word(), w]])] or [word()]
+        rows.append((i, " ".join(x), " ".join(y)))
+    df = spark.createDataFrame(rows, "i long, x string, y string").select("i", "x", "y", F.length("x").alias("n"), F.length("y").alias("m"), F.split("x", " ").alias("xs"), F.split("y", " ").alias("ys"))
+    for side, bag in (("x", "bag_a"), ("y", "bag_b")):
+        df = df.withColumn("norm", F.col(side)).withColumn(bag, line_dedup._bag()).drop("norm")
+    got = df.select("i", line_dedup._apart().alias("least"), line_dedup._by_words().alias("most")).collect()
+    edits = {i: levenshtein(x, y) for i, x, y in rows}
+    assert len(got) == 300 and all(r.least <= edits[r.i] <= r.most for r in got)
+    assert sum(r.most <= 1.3 * edits[r.i] + 1 for r in got) > 150 and sum(2 * r.least >= edits[r.i] > 0 for r in got) > 50
+
+
+def test_crowds_compare_few_pairs(spark):
+    """Unlike lines with a passage in common: few pairs of their crowd are left to be compared, those of two kinds of letters none."""
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(6))
+    passage = " ".join(word("abc") for _ in range(10))
+    texts = [" ".join(word(letters) for _ in range(20)) + " " + passage for letters in ("hijkl", "mnopr") for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "line long, text string").select("line", "text", F.length("text").alias("chars"), F.xxhash64("line").alias("r"))
+    lines = df.select("line", "chars", F.col("r").bitwiseAND(F.lit((1 << 60) - 1)).alias("bits"), F.array(*[F.lit(i).cast("long") for i in range(5)]).alias("sketch"))
+    work = Work(spark, "test")
+    groups = line_dedup.alike(lines, lambda wanted: df.join(wanted, "line").select("line", F.col("text").alias("norm")), work, 8)
+    seen = [(r.a, r.b) for r in work.read("crowd-links").collect()]
+    assert groups.collect() == [] and not any(a < 40 <= b for a, b in seen) and len(seen) < 80 * 79 / 2 / 2
