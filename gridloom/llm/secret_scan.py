@@ -66,7 +66,15 @@ def file_features(text: str) -> list[float]:
 
 
 def _entropy(s: str) -> float:
-    return -sum(n / len(s) * math.log2(n / len(s)) for n in map(s.count, set(s)))
+    shares = _SHARES[len(s)] if len(s) < len(_SHARES) else [0.0] + [n / len(s) * math.log2(n / len(s)) for n in range(1, len(s) + 1)]
+    return -sum([shares[n] for n in map(s.count, set(s))])
+
+
+#: Of ``n`` equal characters in so many: their part of the entropy, with the sign changed.
+_SHARES = [[0.0] + [n / size * math.log2(n / size) for n in range(1, size + 1)] for size in range(65)]
+_DIGITS, _HEX, _ALNUM = b"0123456789", b"0123456789abcdefABCDEF", (string.ascii_letters + string.digits).encode()
+#: Digits as 1, all else as 0.
+_IS_DIGIT = bytes(chr(c).isdigit() and c < 128 for c in range(256))
 
 
 #: Features of a token: its own shape, of its neighbours, of the file. What is kept of each distinct token: shape, and what neighbours ask of it.
@@ -79,11 +87,18 @@ def shape(t: str) -> list[float]:
     if t.isalpha() and t.islower():  # most tokens; as below
         hint, size = t in HINTS, [min(1.0, len(t) / 64), min(1.0, max(0, len(t) - 8) / 16), _entropy(t) / 6]
         hexed = len(t) >= 8 and not t.strip("abcdef")
-        return [0.0, *size, *map(float, (0, 0, 0, 0, 0, hexed, 0, 0, 0, hint, 1, not t.isascii(), 0, hint, 0, 0, 1))]
-    sign = not any(c.isalnum() for c in t)
-    digits = sum(c.isdigit() for c in t)
-    upper, lower = any(c.isupper() for c in t), any(c.islower() for c in t)
-    hint = any(part in HINTS for part in _PARTS.split(t.lower()))
+        return [0.0, *size, 0.0, 0.0, 0.0, 0.0, 0.0, hexed, 0.0, 0.0, 0.0, hint, 1.0, not t.isascii(), 0.0, hint, 0.0, 0.0, 1.0]
+    low = t.lower()
+    if t.isascii():  # bytes tell the same sooner
+        raw = t.encode()
+        sign, digits = len(raw.translate(None, _ALNUM)) == len(raw), len(raw) - len(raw.translate(None, _DIGITS))
+        upper, lower, hexed, ones = low != t, t.upper() != t, not raw.translate(None, _HEX), raw.translate(_IS_DIGIT)
+        turns = ones.count(b"\0\1") + ones.count(b"\1\0")
+    else:
+        sign, digits = not any(c.isalnum() for c in t), sum(c.isdigit() for c in t)
+        upper, lower, hexed = any(c.isupper() for c in t), any(c.islower() for c in t), False
+        turns = sum(a.isdigit() != b.isdigit() for a, b in zip(t, t[1:]))
+    hint = any([part in HINTS for part in _PARTS.split(low)])
     word = t.isalpha() and (t[1:] == t[1:].lower() or not lower)
     own = [
         sign,
@@ -95,15 +110,15 @@ def shape(t: str) -> list[float]:
         digits / len(t),
         upper and lower and not word,
         not upper and not lower,
-        len(t) >= 8 and all(c in "0123456789abcdefABCDEF" for c in t),
-        sum(a.isdigit() != b.isdigit() for a, b in zip(t, t[1:])) / len(t),
-        not sign and any(c in ".-/" for c in t),
-        not sign and any(c in "+_" for c in t),
+        len(t) >= 8 and hexed,
+        turns / len(t),
+        not sign and ("." in t or "-" in t or "/" in t),
+        not sign and ("+" in t or "_" in t),
         hint,
         word,
         not t.isascii(),
     ]
-    return [float(v) for v in (*own, sign, hint, "=" in t or ":" in t, '"' in t or "'" in t, word)]
+    return [*own, sign, hint, "=" in t or ":" in t, '"' in t or "'" in t, word]
 
 
 class Shapes(dict):
@@ -112,16 +127,14 @@ class Shapes(dict):
     def __init__(self):
         super().__init__()
         self.rows = np.zeros((1 << 10, SHAPE + 5), np.float32)
-        self.used, self.chars = 1, 0
+        self.used, self.chars, self.new = 1, 0, []
 
     def __missing__(self, piece: str) -> int:
         if piece[0].isspace():
             number = 0
         else:
-            if self.used == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             number, self.used = self.used, self.used + 1
-            self.rows[number] = shape(piece)
+            self.new.append(shape(piece))
         self.chars += len(piece) + 64
         self[piece] = number
         return number
@@ -133,6 +146,11 @@ class Shapes(dict):
             self.used, self.chars = 1, 0
         pieces = _PIECES.findall(text)
         numbers = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+        if self.new:
+            while self.used > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[self.used - len(self.new) : self.used] = self.new
+            self.new = []
         ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
         starts = np.concatenate([[0], ends[:-1]]) if len(pieces) else ends
         on = numbers > 0
@@ -193,13 +211,28 @@ class Crf:
 
     def path(self, scores: np.ndarray) -> list[int]:
         """The best sequence of tags, by Viterbi; the token before the first is outside."""
-        scores, step = scores.tolist(), self.step.tolist()
-        now, back = [step[OUTSIDE][t] + scores[0][t] for t in range(3)], []
-        for row in scores[1:]:
-            came = [max(range(3), key=lambda s: now[s] + step[s][t]) for t in range(3)]
-            back.append(came)
-            now = [now[came[t]] + step[came[t]][t] + row[t] for t in range(3)]
-        tag = max(range(3), key=lambda t: now[t])
+        (oo, ob, oi), (bo, bb, bi), (io, ib, ii) = self.step.tolist()
+        scores = scores.tolist()
+        # best scores with the last token outside, begin, inside; of equal ones the first tag, written out as this takes most of the time
+        o, b, i = oo + scores[0][0], ob + scores[0][1], oi + scores[0][2]
+        back = []
+        for so, sb, si in scores[1:]:
+            no, to, nb, tb, ni, ti = o + oo, 0, o + ob, 0, o + oi, 0
+            if (v := b + bo) > no:
+                no, to = v, 1
+            if (v := i + io) > no:
+                no, to = v, 2
+            if (v := b + bb) > nb:
+                nb, tb = v, 1
+            if (v := i + ib) > nb:
+                nb, tb = v, 2
+            if (v := b + bi) > ni:
+                ni, ti = v, 1
+            if (v := i + ii) > ni:
+                ni, ti = v, 2
+            back.append((to, tb, ti))
+            o, b, i = no + so, nb + sb, ni + si
+        tag = max(range(3), key=(o, b, i).__getitem__)
         out = [tag]
         for came in reversed(back):
             out.append(tag := came[tag])
@@ -208,18 +241,25 @@ class Crf:
     def decode_text(self, scores: np.ndarray) -> list[tuple[int, int]]:
         """``(first, beyond)`` token numbers of the spans on the best path through a whole text.
 
-        A token is outside on the best path for certain if that scores more than
-        three transitions can differ by and than the next token could lose by
-        beginning where it went on inside; for then any other path gains by
-        setting it outside. Such tokens divide the text, and Viterbi runs
-        between them: the path is that of the whole text.
+        A token is outside on the best path for certain if any path gains by
+        setting it outside, whatever stands before and behind it; where the next
+        token went on inside, it begins then, as nothing goes on from outside.
+        Such tokens divide the text, and Viterbi runs between them: the path is
+        that of the whole text.
         """
         if not len(scores):
             return []
-        allowed = self.step[self.step > NEVER / 2]
-        going = np.zeros(len(scores))
-        going[:-1] = np.maximum(0, scores[1:, INSIDE] - scores[1:, BEGIN])
-        open_ = np.flatnonzero(scores[:, OUTSIDE] - scores[:, 1:].max(1) <= 3 * (allowed.max() - allowed.min()) + going)
+        step, behind = self.step, np.zeros(len(scores))
+        behind[:-1] = scores[1:, INSIDE] - scores[1:, BEGIN]
+        certain = np.ones(len(scores), bool)
+        for tag, befores in ((BEGIN, (OUTSIDE, BEGIN, INSIDE)), (INSIDE, (BEGIN, INSIDE))):
+            into = min(step[s, OUTSIDE] - step[s, tag] for s in befores)
+            # the next token stays, or there is none
+            out_of = min(0, *(step[OUTSIDE, t] - step[tag, t] for t in (OUTSIDE, BEGIN)))
+            # it went on inside, and begins now
+            anew = step[OUTSIDE, BEGIN] - step[tag, INSIDE] + min(0, *(step[BEGIN] - step[INSIDE]))
+            certain &= scores[:, OUTSIDE] - scores[:, tag] + into + np.minimum(out_of, anew - behind) > SLACK
+        open_ = np.flatnonzero(~certain)
         out = []
         for part in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1) if len(open_) else []:
             first, beyond = int(part[0]), int(part[-1]) + 1
@@ -236,6 +276,8 @@ class Crf:
 
 
 NEVER = -1e4
+#: What a path must gain at least to count as better, over the rounding of sums.
+SLACK = 1e-6
 
 
 def fit(runs: list[tuple[np.ndarray, list[int]]]) -> Crf:

@@ -1,10 +1,12 @@
 import hashlib
 import itertools
+import math
 import random
 import re
 
 import numpy as np
 
+from gridloom.llm import secret_scan
 from gridloom.llm.secret_scan import BEGIN, INSIDE, OUTSIDE, SHAPE, WIDTH, Crf, Shapes, base_spans, clipped, fit, learn, run_labels, scan, shape, text_features, varied, written
 
 SCHEMA = "doc_id long, text string, spans string"
@@ -134,3 +136,27 @@ def test_made_up_secrets_stand_where_they_say():
     for _ in range(200):
         got, a, b = varied(text, 501, 523, rng)
         assert 8 <= b - a <= 90 and not re.search(r"\s", got[a:b]) and got[:200] == text[301:501]
+
+
+def test_few_tokens_need_a_path(monkeypatch):
+    """Tokens that no neighbour can make part of a secret are left out of the search, and it still finds the best path."""
+    step = np.array([[2.0, -2.0, secret_scan.NEVER], [-1.0, -3.0, 2.0], [1.0, -1.0, 1.0]])
+    crf = secret_scan.Crf(np.zeros((secret_scan.WIDTH + 1, 3)), step)
+    scores = np.tile([10.0, 0.0, 0.0], (1000, 1))
+    scores[500:503] = [[0, 9, 0], [0, 0, 9], [3, 0, 9]]
+    whole, asked, path = crf.path(scores), [], crf.path
+    monkeypatch.setattr(crf, "path", lambda part: asked.append(len(part)) or path(part))
+    assert crf.decode_text(scores) == [(500, 503)] and [i for i, tag in enumerate(whole) if tag] == [500, 501, 502]
+    assert sum(asked) < 10
+
+
+def test_shape_of_bytes_and_of_characters_agree():
+    """A token of ASCII shows the same as one that is looked at character by character."""
+    rng = random.Random(1)
+    for _ in range(2000):
+        t = "".join(rng.choice("abcdefXYZ0189_+/.-=:\"'{}") for _ in range(rng.randint(1, 40)))
+        s = secret_scan.shape(t)
+        assert s[0] == (not any(c.isalnum() for c in t)) and s[6] == sum(c.isdigit() for c in t) / len(t)
+        assert s[10] == sum(a.isdigit() != b.isdigit() for a, b in zip(t, t[1:])) / len(t)
+        assert s[9] == (len(t) >= 8 and all(c in "0123456789abcdefABCDEF" for c in t))
+        assert abs(s[3] * 6 + sum(t.count(c) / len(t) * math.log2(t.count(c) / len(t)) for c in set(t))) < 1e-9
